@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm import encoding, pieces
+from blockloom.llm import encoding, leakage, pieces
 from blockloom.session import table
 
 
@@ -33,9 +33,13 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("key.doc_id", F.col("key.n").alias("n_tokens"), (F.coalesce("key.text", F.lit("")) == F.col("text")).alias("same"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split(table(spark, d, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_round_trip, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p8_ids, p8_round_trip, p9_found, p10_pieces)}
 SQL: dict[str, str] = {}
