@@ -5,8 +5,11 @@ Every place between two tokens has a strength: between cells 3, between lines 2,
 ends reaches from just over the overlap to the limit, so a cell border is used whenever one
 is in reach. A sparse table of range maxima finds the strongest place, at a tie the last
 one. The next piece begins ``overlap`` tokens before that place (up to three more where that
-would be inside a character). A piece is a range of the document's own tokens; where a
-piece's text taken alone could need more than the limit, it is counted and cut shorter.
+would be inside a character). A piece is a range of the document's own tokens. Its text taken
+alone has the same tokens, as every part of an encoding is the encoding of its own bytes and
+the split into pieces looks only forward, but for two edges: blanks at the end are no longer
+split off for the next word, and an apostrophe at the start may begin a contraction. Those
+are counted, and a piece that would be over the limit alone is cut shorter.
 
 Defined results: null and empty texts have no pieces; a text within the limit is one piece;
 cell starts that are null, out of range, repeated or out of order are taken as a set; each
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 from blockloom.llm.encoding import slices
 from blockloom.llm.transducer import Transducer, transducer
 
-LIMIT, OVERLAP, SEGMENT, SPARE = 1024, 64, 1 << 15, 16
+LIMIT, OVERLAP, SEGMENT = 1024, 64, 1 << 15
 KINDS = {3: "cell", 2: "line", 1: "blank", 0: "token", 9: "end"}
+BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32, 0x85, 0xA0)).astype(np.int8)
 SCHEMA = "piece int, token_start int, token_end int, char_start int, char_end int, n_tokens int, cut string, text string"
 
 
@@ -60,12 +64,15 @@ def strengths(text: str, sizes: np.ndarray, starts) -> tuple[np.ndarray, np.ndar
         lead = np.frombuffer(text.encode(), np.uint8) & 0xC0 != 0x80
         before = np.concatenate([[0], np.cumsum(lead)])
         whole, at = np.append(lead, True)[ends], before[ends]
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    blank = np.isin(points, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x2028, 0x2029, 0x3000))
-    line = (points == 10) | ((points == 13) & (np.append(points[1:], 0) != 10))
+    # a byte per character is enough: other blanks than these are rare and count as no boundary
+    points = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
+    blank = BLANK[points]
+    line = points == 10
+    cr = np.flatnonzero(points == 13)
+    line[cr[np.append(points, 0)[cr + 1] != 10]] = True
     kind = np.zeros(len(points) + 1, np.int8)
-    kind[:-1][blank] = 1
-    kind[1:][blank] = 1
+    kind[:-1] = blank
+    kind[1:] |= blank
     kind[1:][line] = 2
     if starts is not None:
         cells = np.array([s for s in starts if s is not None and 0 < s < len(points)], np.int64)
@@ -75,6 +82,21 @@ def strengths(text: str, sizes: np.ndarray, starts) -> tuple[np.ndarray, np.ndar
     return strength, at
 
 
+def alone(t: Transducer, text: str, at: np.ndarray, start: int, end: int) -> int:
+    """How many tokens the text of the places start..end has when it is encoded alone."""
+    a, b = int(at[start]), int(at[end])
+    if text[a] == "'" and start:
+        return len(t.encode(text[a:b]))
+    if not text[b - 1].isspace():
+        return end - start
+    run = b - 1
+    while run > a and text[run - 1].isspace():
+        run -= 1
+    if b - run < 2:
+        return end - start
+    return int(np.searchsorted(at, run, "right")) - 1 - start + len(t.encode(text[run:b]))
+
+
 def cut(t: Transducer, text: str, starts, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple]:
     """Rows of SCHEMA of one text."""
     ids = t.encode(text)
@@ -94,15 +116,12 @@ def cut(t: Transducer, text: str, starts, limit: int = LIMIT, overlap: int = OVE
                     index = StrongestPlace(strength[start : start + SEGMENT], start)
                 end = index(low, high)
                 kind = int(strength[end])
-            piece = text[at[start] : at[end]]
-            # taken alone, tokens at the two edges may differ; only then can the count pass the limit
-            if end - start > limit - SPARE or kind < 1 or (start and strength[start] < 1):
-                over = len(t.encode(piece)) - limit
-                if over > 0 and most > overlap + 8:
-                    most = max(overlap + 8, min(most, end - start) - over)
-                    continue
+            over = alone(t, text, at, start, end) - limit
+            if over > 0 and most > overlap + 8:
+                most = max(overlap + 8, min(most, end - start) - over)
+                continue
             break
-        out.append((len(out), start, end, int(at[start]), int(at[end]), end - start, KINDS[kind], piece))
+        out.append((len(out), start, end, int(at[start]), int(at[end]), end - start, KINDS[kind], text[at[start] : at[end]]))
         if end == n:
             return out
         start = end - overlap
