@@ -11,6 +11,7 @@ from blockloom.plans import layouts, quality, quality_sql, sequences, spatials,
 
 MODULES = (statistics, sequences, spatials, layouts)
 DIGITS = 6
+PLACES = {"d2": 8, "rect_area": 3, "fill": 5, "position": 10}
 
 
 def rounded(query: Callable, columns: list[str], digits: int = DIGITS) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,7 +19,7 @@ def rounded(query: Callable, columns: list[str], digits: int = DIGITS) -> Callab
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         df = query(spark, d)
-        return df.select(*[F.round(c, 8 if c == "d2" else digits).alias(c) if c in columns else F.col(c) for c in df.columns])
+        return df.select(*[F.round(c, PLACES.get(c, digits)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
     run.__name__ = query.__name__
     return run
@@ -36,6 +37,6 @@ def sql() -> dict[str, str]:
     for m in MODULES:
         for k, text in m.SQL.items():
             columns = m.DOUBLES.get(k, "").split()
-            replaced = ", ".join(f"round(CAST({c} AS DOUBLE), {8 if c == 'd2' else DIGITS}) AS {c}" for c in columns)
+            replaced = ", ".join(f"round(CAST({c} AS DOUBLE), {PLACES.get(c, DIGITS)}) AS {c}" for c in columns)
             out[k] = f"SELECT * REPLACE ({replaced}) FROM ({text})" if columns else text
     return out
