@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.session import shuffle_partitions
+
 STRIP, TILE = 4, 64  # strip height and tile width for points near points, in radii
 REGION_STRIP, REGION_TILE = 256.0, 4096.0  # the same for regions, in units of the plane
 PAIRS = 1 << 20  # candidate pairs verified at once
@@ -39,14 +41,18 @@ def coordinates(wkt: Column) -> Column:
 
 def with_box(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     """Adds xmin, ymin, xmax, ymax; drops rows without a readable geometry."""
-    out = df.withColumn("__c", coordinates(F.col(geometry))).withColumns({
-        "xmin": F.array_min("__c.x"), "xmax": F.array_max("__c.x"), "ymin": F.array_min("__c.y"), "ymax": F.array_max("__c.y"),
-        "__bad": F.exists("__c", lambda p: p["x"].isNull() | p["y"].isNull()),
-    })
+    def box(c: Column) -> Column:
+        ends = [(f"{v}{e}", f(c[v])) for v in "xy" for e, f in (("min", F.array_min), ("max", F.array_max))]
+        return F.struct(*[e.alias(n) for n, e in ends], F.exists(c, lambda p: p["x"].isNull() | p["y"].isNull()).alias("bad"))
+
+    # a lambda and a generator: the text is parsed once, and no filter is pushed below and parses it again
+    out = df.withColumn("__b", F.explode(F.transform(F.array(coordinates(F.col(geometry))), box)))
+    sides = ["xmin", "xmax", "ymin", "ymax"]
+    out = out.select(*df.columns, *[F.col(f"__b.{c}").alias(c) for c in sides], F.col("__b.bad").alias("__bad"))
     low, high = F.lit(-1e15), F.lit(1e15)  # NaN and infinity are above
-    for c in ("xmin", "xmax", "ymin", "ymax"):
+    for c in sides:
         out = out.filter(F.col(c).between(low, high))
-    return out.filter("not __bad").drop("__c", "__bad")
+    return out.filter("not __bad").drop("__bad")
 
 
 def locations(df: DataFrame, key: str, geometry: str = "geometry") -> DataFrame:
@@ -62,7 +68,8 @@ def cells(df: DataFrame, x: tuple[Column, Column], y: tuple[Column, Column], wid
 
 
 def swept(df: DataFrame, order: list[str]) -> DataFrame:
-    return df.repartitionByRange("strip", "tile").sortWithinPartitions("strip", "tile", *order)
+    n = shuffle_partitions(df.sparkSession)  # a given number isn't coalesced by bytes, which don't tell the work
+    return df.repartitionByRange(n, "strip", "tile").sortWithinPartitions("strip", "tile", *order)
 
 
 def _cuts(strip: np.ndarray, tile: np.ndarray) -> list[int]:

@@ -34,3 +34,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over all shuffle partitions: before Python work, whose cost adaptive coalescing by bytes doesn't see."""
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys)
