@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import planar
 from blockloom.operators import graph, nearby, ordered
+from blockloom.session import spread_out
 
 AXIS = "block_id string, ax double, ay double, bx double, by double, length double, width double"
 FEATURES = "block_id string, building_id string, posx double, posy double, size_x double, size_y double, phi_resid double, aspect_ratio double, s_i int, a_i double"
@@ -30,7 +31,7 @@ def block_axes(blocks: DataFrame) -> DataFrame:
                 rows.append((i, *c[0], *c[2], float(np.hypot(*(c[2] - c[0]))), planar.rectangle_axes(c)[1]))
             yield pd.DataFrame(rows, columns=["block_id", "ax", "ay", "bx", "by", "length", "width"])
 
-    return nearby.with_box(blocks.select("block_id", "geometry")).select("block_id", "geometry").mapInPandas(run, AXIS)
+    return spread_out(nearby.with_box(blocks.select("block_id", "geometry")).select("block_id", "geometry")).mapInPandas(run, AXIS)
 
 
 def features(row: tuple) -> tuple:
@@ -62,7 +63,7 @@ def building_features(buildings: DataFrame, axes: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")])
 
     rows = nearby.with_box(buildings.select("block_id", "building_id", "geometry")).select("block_id", "building_id", "geometry")
-    return rows.join(axes, "block_id").mapInPandas(run, FEATURES)
+    return spread_out(rows.join(axes, "block_id")).mapInPandas(run, FEATURES)
 
 
 def nodes(found: DataFrame, slots: int) -> DataFrame:

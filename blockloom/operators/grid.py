@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from blockloom.functions import planar
 from blockloom.operators import graph, ordered
 from blockloom.operators.nearby import with_box
+from blockloom.session import spread_out
 
 AROUND = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0)]
 
@@ -35,7 +36,7 @@ def cells_of_blocks(blocks: DataFrame, cell: float) -> DataFrame:
             out = pdf[["block_id", "gi", "gj"]].assign(area=np.array(sizes, float))
             yield out[out["area"] > 1e-6]
 
-    kept = rows.select("block_id", "geometry", "gi", "gj").mapInPandas(run, "block_id string, gi long, gj long, area double")
+    kept = spread_out(rows.select("block_id", "geometry", "gi", "gj")).mapInPandas(run, "block_id string, gi long, gj long, area double")
     block = Window.partitionBy("block_id")
     return kept.select(
         "block_id", (F.row_number().over(block.orderBy("gi", "gj")) - 1).alias("cell_id"), (F.col("gi") - F.min("gi").over(block)).alias("row_i"), (F.col("gj") - F.min("gj").over(block)).alias("col_j"), "area"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from blockloom.functions import planar
 from blockloom.functions.scalars import capacity, slug
 from blockloom.operators import nearby
+from blockloom.session import spread_out
 
 CELL = 256.0
 EXCLUDED = ("парк",)  # service types that are no facility
@@ -29,7 +30,7 @@ def candidate_pairs(a: DataFrame, b: DataFrame, cell: float = CELL) -> DataFrame
         boxes = nearby.with_box(df.select(F.col("id").alias(f"{p}_id"), F.col("wkt").alias(f"{p}_wkt")), f"{p}_wkt").withColumnsRenamed({c: f"{p}_{c}" for c in ("xmin", "xmax", "ymin", "ymax")})
         return nearby.cells(boxes, (F.col(f"{p}_xmin"), F.col(f"{p}_xmax")), (F.col(f"{p}_ymin"), F.col(f"{p}_ymax")), cell, cell)
 
-    pairs = spread(a, "a").join(spread(b, "b"), ["strip", "tile"])
+    pairs = spread_out(spread(a, "a"), "strip", "tile").join(spread_out(spread(b, "b"), "strip", "tile"), ["strip", "tile"])
     meet = (F.col("a_xmin") <= F.col("b_xmax")) & (F.col("b_xmin") <= F.col("a_xmax")) & (F.col("a_ymin") <= F.col("b_ymax")) & (F.col("b_ymin") <= F.col("a_ymax"))
     own = (F.floor(F.greatest("a_xmin", "b_xmin") / cell) == F.col("tile")) & (F.floor(F.greatest("a_ymin", "b_ymin") / cell) == F.col("strip"))
     return pairs.filter(meet & own).select("a_id", "a_wkt", "b_id", "b_wkt")
@@ -92,7 +93,7 @@ def inner_points(areas: DataFrame) -> DataFrame:
             xy = np.array([planar.inner_point(planar.largest(planar.read_wkt(w))) for w in pdf["wkt"]]).reshape(-1, 2)
             yield pd.DataFrame({"id": pdf["id"], "x": xy[:, 0], "y": xy[:, 1]})
 
-    return nearby.with_box(areas, "wkt").select("id", "wkt").mapInPandas(run, "id string, x double, y double")
+    return spread_out(nearby.with_box(areas, "wkt").select("id", "wkt")).mapInPandas(run, "id string, x double, y double")
 
 
 def rectangles(areas: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def rectangles(areas: DataFrame) -> DataFrame:
                 rows.append((i, a, b, planar.fill_share(part), planar.reflex(part[0]), planar.shape_class(part)))
             yield pd.DataFrame(rows, columns=["id", "long", "short", "fill", "inner_corners", "shape"])
 
-    return nearby.with_box(areas, "wkt").select("id", "wkt").mapInPandas(run, "id string, long double, short double, fill double, inner_corners int, shape int")
+    return spread_out(nearby.with_box(areas, "wkt").select("id", "wkt")).mapInPandas(run, "id string, long double, short double, fill double, inner_corners int, shape int")
 
 
 def attach_services(buildings: DataFrame, services: DataFrame) -> tuple[DataFrame, DataFrame]:

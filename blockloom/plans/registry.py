@@ -11,7 +11,7 @@ from blockloom.plans import layouts, quality, quality_sql, sequences, spatials,
 
 MODULES = (statistics, sequences, spatials, layouts)
 DIGITS = 6
-PLACES = {"d2": 8, "rect_area": 3, "fill": 5, "position": 10}
+PLACES = {"d2": 8, "rect_area": 6, "fill": 7, "position": 10}
 
 
 def rounded(query: Callable, columns: list[str], digits: int = DIGITS) -> Callable[[SparkSession, str], DataFrame]:
