@@ -76,7 +76,7 @@ def padded(prefix: str, n: Column, width: int) -> Column:
 
 
 def comma_list(x: Column) -> Column:
-    return F.filter(F.transform(F.split(x, ","), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(x, ","), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def half_up(x: Column) -> Column:

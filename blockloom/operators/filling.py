@@ -101,7 +101,7 @@ def fill_missing(df: DataFrame, gap: int = GAP) -> DataFrame:
             values = F.broadcast(values)
         out = out.join(values, on, "left")
     best = F.coalesce(*[F.when(F.col(f"s{k}.v").isNotNull(), F.col(f"s{k}")) for k in range(len(steps))])
-    value = F.when(F.col("field") == "floors_num", F.greatest(F.round(F.col("best.v")), F.lit(1.0))).otherwise(F.col("best.v"))
+    value = F.when((F.col("field") == "floors_num") & (F.col("best.v") < 1), 1.0).when(F.col("field") == "floors_num", F.round(F.col("best.v"))).otherwise(F.col("best.v"))
     return out.select("building_id", "field", best.alias("best")).select(
         "building_id", "field", value.alias("value"), F.coalesce("best.method", F.lit("none")).alias("method"), "best.distance"
     )

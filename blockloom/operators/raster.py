@@ -108,6 +108,7 @@ def contour_lines(segments: DataFrame, group: Sequence[str]) -> DataFrame:
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         ends: dict[tuple, list[int]] = {}
         rows = [((round(r.x1, 7), round(r.y1, 7)), (round(r.x2, 7), round(r.y2, 7))) for r in pdf.sort_values(["i", "j", "x1", "y1"]).itertuples()]
+        rows = [r for r in rows if r[0] != r[1]]  # a level that meets a corner leaves segments without length
         for k, (p, q) in enumerate(rows):
             ends.setdefault(p, []).append(k)
             ends.setdefault(q, []).append(k)

@@ -23,8 +23,8 @@ def weighted_draws(items: DataFrame, key: str, weight: str, n: int, seed: int =
     draws = items.sparkSession.range(n).select(F.col("id").alias("draw"), uniform(F.col("id"), seed=seed).alias("u"))
     # an equi-join on a grid of the unit interval, then the exact range
     grid = 1024
-    cells = cum.withColumn("g", F.explode(F.sequence(F.floor(F.col("lo") / F.col("total") * grid).cast("int"), F.floor(F.col("hi") / F.col("total") * grid).cast("int"))))
-    hit = draws.withColumn("g", F.floor(F.col("u") * grid).cast("int")).join(cells, "g")
+    cells = cum.withColumn("__g", F.explode(F.sequence(F.floor(F.col("lo") / F.col("total") * grid).cast("int"), F.floor(F.col("hi") / F.col("total") * grid).cast("int"))))
+    hit = draws.withColumn("__g", F.floor(F.col("u") * grid).cast("int")).join(cells, "__g")
     at = F.col("u") * F.col("total")
     return hit.filter((at >= F.col("lo")) & (at < F.col("hi"))).select("draw", key)
 
@@ -33,10 +33,10 @@ def uniform_by_group(items: DataFrame, key: str, group: str, n: int, seed: int =
     """(draw, key): a random group, then a random item of it."""
     groups = items.select(group).distinct().withColumn("w", F.lit(1.0))
     drawn = weighted_draws(groups, group, "w", n, seed)
-    ranked = items.select(group, key, (F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).alias("r"), F.count(F.lit(1)).over(Window.partitionBy(group)).alias("m"))
-    sizes = ranked.select(group, "m").distinct()
-    picks = drawn.join(sizes, group).withColumn("r", F.floor(uniform(F.col("draw"), seed=seed + 1) * F.col("m")).cast("int"))
-    return picks.join(ranked.drop("m"), [group, "r"]).select("draw", key)
+    ranked = items.select(group, key, (F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1).alias("__r"), F.count(F.lit(1)).over(Window.partitionBy(group)).alias("__m"))
+    sizes = ranked.select(group, "__m").distinct()
+    picks = drawn.join(sizes, group).withColumn("__r", F.floor(uniform(F.col("draw"), seed=seed + 1) * F.col("__m")).cast("int"))
+    return picks.join(ranked.drop("__m"), [group, "__r"]).select("draw", key)
 
 
 def stratified(items: DataFrame, key: str, weight: str, strata: Sequence[str], n: int, seed: int = 42) -> DataFrame:
