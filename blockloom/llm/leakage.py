@@ -39,14 +39,15 @@ APART = 5  # kept words between two edits of a passage: with fewer, replaced wor
 EDITS = -(-WINDOW // (APART + 1))  # the most edits that a window of a passage can have
 REPEATS, BITS = 40, 6  # LSH repetitions, sampled coordinates: recall per window 1 - (1 - s**BITS)**REPEATS
 STEPS = 2 * WINDOW  # coordinates of the embedding
-BAND, BEFORE, AFTER = 3, WINDOW, 2 * WINDOW  # verified alignment around a hit
+BAND, BEFORE, AFTER = 5, WINDOW, 2 * WINDOW  # verified alignment around a hit
 ITEMS = 5000  # items held at once
 TABLE = 1 << 22  # slots of the word pair table
 
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 UNICODE = re.compile(r"\\+[uU]\{?([0-9a-fA-F]{4})\}?|\\+x([0-9a-fA-F]{2})")
-ESCAPE = re.compile(r"\\+[nrtbfv]")
+BREAK, ESCAPE = re.compile(r"\\+[nr]"), re.compile(r"\\+[tbfv]")
+GUTTER = re.compile(r"""^([\s"',#>*/]*)\d{1,6}\s?[|│]""", re.M)  # line numbers before a bar
 ANSI = re.compile(r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b[@-_]")
 TAG = re.compile(r"</?[A-Za-z][^<>]{0,400}>|<!--.{0,400}?-->", re.S)
 ENTITY = re.compile(r"&#?\w{2,8};")
@@ -54,16 +55,18 @@ HIDDEN = re.compile("[\xad͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯︀-️﻿￹-
 
 
 def plain(text: str) -> str:
-    """The text without escapes, terminal codes, tags, entities and invisible characters."""
+    """The text without escapes, terminal codes, tags, entities, numbers of lines and invisible characters."""
     if "\\" in text:
         text = UNICODE.sub(lambda m: chr(int(m[1] or m[2], 16)), text)
-        text = ESCAPE.sub(" ", text)
+        text = ESCAPE.sub(" ", BREAK.sub("\n", text))
     if "\x1b" in text:
         text = ANSI.sub("", text)
     if "<" in text:
         text = TAG.sub(" ", text)
     if "&" in text:
         text = ENTITY.sub(lambda m: html.unescape(m[0]), text)
+    if "|" in text or "│" in text:
+        text = GUTTER.sub(r"\1 ", text)
     return text if text.isascii() else HIDDEN.sub("", text)
 
 
@@ -154,8 +157,8 @@ def longest_runs(text: np.ndarray, p: np.ndarray, item: np.ndarray, q: np.ndarra
         b = item[np.clip(q[:, None] + i + shift, 0, len(item) - 1)]
         same = (a[:, None] == b) & (b > 0)
         run, kept = one[0] + 1, np.minimum(one[1] + 1, APART)
-        # a replaced word, a word the item doesn't have, a word the text doesn't have
-        for (n, k), by, more in ((two, 0, 2), (two, 1, 1), (one, -1, 2)):
+        # a replaced word (in code one for up to three, as in a_b(c)), a word the item doesn't have, a word the text doesn't have
+        for (n, k), by, more in ((two, 0, 2), (two, -1, 3), (two, -2, 4), (two, 1, 1), (one, -1, 2)):
             n, k = (moved(n, by), moved(k, by)) if by else (n, k)
             other = np.where(k >= APART, n + more, 0)
             longer = other > run
