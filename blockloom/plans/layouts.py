@@ -60,6 +60,11 @@ def block_cells(spark, d):
     return cells.groupBy("block_id").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("area").alias("area"), (F.max("cell_id") + 1).alias("n_ids"))
 
 
+def block_cell_areas(spark, d):
+    """The area of all 50 m cells of a block, which is that of the block."""
+    return block_cells(spark, d).select("block_id", "area")
+
+
 def board(spark: SparkSession, d: str) -> DataFrame:
     """20 x 20 grids of parts with flags."""
     p, k, s = table(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
@@ -207,12 +212,12 @@ def collisions(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    density_hist, density_smooth, density_levels, contour_segments, contour_lines, block_masks, block_cells, neighbour_counts, three_sides, neighbour_levels,
+    density_hist, density_smooth, density_levels, contour_segments, contour_lines, block_masks, block_cells, block_cell_areas, neighbour_counts, three_sides, neighbour_levels,
     building_cells, diagonal_groups, merged_groups, zone_centres, service_sites, floors_rule, waterfill, living_area, zone_summary, fitted_areas, slots_per_branch,
     slot_matching, suppressed, repelled, sampled_blocks, sampled_zones, batches, node_targets, block_strata, loss_values, collisions,
 )}
 DOUBLES = {
-    "density_hist": "v", "density_smooth": "v", "density_levels": "level", "contour_segments": "level x1 y1 x2 y2", "contour_lines": "level length", "block_cells": "area",
+    "density_hist": "v", "density_smooth": "v", "density_levels": "level", "contour_segments": "level x1 y1 x2 y2", "contour_lines": "level length", "block_cells": "area", "block_cell_areas": "area",
     "zone_centres": "r_center c_center", "waterfill": "x", "living_area": "living_area share", "fitted_areas": "area", "repelled": "x y",
     "zone_summary": "target_requested target_used cap_min cap_max mean_k sum_living_area", "node_targets": "total", "loss_values": "existence position area area_sum", "collisions": "collision",
 }
@@ -266,6 +271,13 @@ p AS (SELECT event_type, level, i, j, (a + b + c + d) / 4 >= level AS mid, a >=
 g AS (SELECT event_type, level, i, j, x[1] AS p, CASE WHEN len(x) = 2 OR mid = ha THEN x[2] ELSE x[4] END AS q FROM p WHERE len(x) >= 2
   UNION ALL SELECT event_type, level, i, j, CASE WHEN mid = ha THEN x[3] ELSE x[2] END, CASE WHEN mid = ha THEN x[4] ELSE x[3] END FROM p WHERE len(x) = 4)
 SELECT event_type, level, i, j, p[1] AS x1, p[2] AS y1, q[1] AS x2, q[2] AS y2 FROM g""",
+    "block_cell_areas": "WITH " + spatials._GEO + " SELECT id AS block_id, sum(area) AS area FROM pa WHERE kind = 'block' GROUP BY ALL",
+    "merged_groups": """WITH RECURSIVE c AS (SELECT CAST(p_partkey // 400 AS VARCHAR) AS zone, (p_partkey % 400) // 20 AS r, p_partkey % 20 AS q, CAST(p_size % 3 AS VARCHAR) AS service, substr(p_type, 1, 1) AS type FROM part WHERE p_size > 15),
+k AS (SELECT *, zone || ':' || lpad(CAST(r AS VARCHAR), 6, '0') || ':' || lpad(CAST(q AS VARCHAR), 6, '0') AS node FROM c),
+e AS (SELECT a.node AS a, b.node AS b FROM k a JOIN k b ON a.zone = b.zone AND a.service = b.service AND abs(a.r - b.r) <= 1 AND abs(a.q - b.q) <= 1),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+m AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a)
+SELECT component, service, count(*) AS n_members, CAST(count(*) AS BIGINT) AS n_cells, array_to_string(list_sort(list_distinct(list(type))), ',') AS types FROM k JOIN m USING (node) GROUP BY component, service""",
     "neighbour_counts": f"WITH {_BOARD} SELECT zone, row_i, col_j, inside, degree, greatest(0, 8 - degree) AS missing, empty, side_inside FROM k",
     "three_sides": f"WITH {_BOARD} SELECT zone, row_i, col_j, inside, inside OR side_inside >= 3 AS closed FROM k",
     "neighbour_levels": f"""WITH {_BOARD}, g AS (SELECT zone, row_i, col_j, level, count(*) AS n FROM nb WHERE side AND level IS NOT NULL GROUP BY ALL),

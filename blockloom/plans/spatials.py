@@ -199,4 +199,13 @@ SELECT id, s AS rect_area, area / greatest(s, 1e-9) AS fill FROM best JOIN big U
     "block_orientation": "WITH " + _GEO + """ SELECT id, round(sum(2 * (x2 - x1) * (y2 - y1) / sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)), 3) AS sin_sum, round(sum(((x2 - x1) ** 2 - (y2 - y1) ** 2) / sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)), 3) AS cos_sum
 FROM side JOIN big USING (kind, id, k) WHERE kind = 'block' AND j = 1 AND (x1 <> x2 OR y1 <> y2) GROUP BY id""",
     "service_degrees": "WITH " + P3_FOUND[P3_FOUND.index("spots AS"): P3_FOUND.index(",\nrings AS")] + f" SELECT id, x / {_R} * 180 / pi() AS lon, (2 * atan(exp(y / {_R})) - pi() / 2) * 180 / pi() AS lat, x, y FROM spots WHERE kind = 'service'",
+    "ring_zones": _PIP.replace("held AS (", """d AS (
+  SELECT near.id, near.block_id, min(sqrt((x - (x1 + t * (x2 - x1))) ** 2 + (y - (y1 + t * (y2 - y1))) ** 2)) AS dist
+  FROM (SELECT near.kind, near.id, near.x, near.y, near.block_id, x1, y1, x2, y2, CASE WHEN x1 = x2 AND y1 = y2 THEN 0 ELSE greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) END AS t
+        FROM near JOIN sides ON near.block_id = sides.block_id WHERE kind = 'building') near GROUP BY ALL
+),
+held AS (""") + " SELECT d.id, d.block_id, dist, CASE WHEN dist < 10 THEN 'ring1' WHEN dist < 30 THEN 'ring2' ELSE 'inner' END AS ring FROM d JOIN (SELECT DISTINCT id, block_id FROM held WHERE kind = 'building') USING (id, block_id)",
+    "service_spacing": "WITH " + P3_FOUND[P3_FOUND.index("spots AS"): P3_FOUND.index(",\nrings AS")] + """, s AS (SELECT coalesce(n.service_type_name, '') AS service, id, x, y FROM spots JOIN (SELECT DISTINCT service_id, service_type_name FROM services) n ON n.service_id = id WHERE kind = 'service'),
+nn AS (SELECT a.service, a.id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) FILTER (a.x <> b.x OR a.y <> b.y) AS d FROM s a LEFT JOIN s b ON a.service = b.service GROUP BY a.service, a.id)
+SELECT service, count(*) AS n, min(d) AS min_nn, avg(d) AS mean_nn, coalesce(avg(d) / 30.0, 1.0) AS score FROM nn GROUP BY service""",
 }
