@@ -32,7 +32,15 @@ PATTERNS = {
         "RECT_5x2_WITH_OPEN_3": ("#...#", "#####"),
     },
 }
-NORMS = {"school": (600, 33000.0), "kindergarten": (100, 4400.0), "polyclinics": (300, 3000.0)}
+NORMS = {
+    ("school", "RECT_5x2_WITH_OPEN_3"): (600, 33000.0),
+    ("school", "H_5x4"): (800, 36000.0),
+    ("school", "RING_5x5_WITH_COURTYARD"): (1100, 39600.0),
+    ("kindergarten", "LINE3"): (60, 2640.0),
+    ("kindergarten", "W5"): (100, 4400.0),
+    ("kindergarten", "H7"): (150, 5700.0),
+    ("polyclinics", "RECT_2x4"): (300, 3000.0),
+}
 
 
 @lru_cache(64)
@@ -89,30 +97,27 @@ class Board:
 
     def place(self, service: str, level: int, centre: tuple[float, float]):
         """The first site near the centre that keeps all gaps and holds a building of the service, or None."""
-        capacity, area = NORMS[service]
         ok = (self.level >= level if level >= 0 else self.exists & (self.level < 0)) & ~self.taken & ~self.house
         ok &= ~self.grown(self.house, HOUSE_GAP) & ~self.grown(self.taken, SITE_GAP)
         if service in self.by_type:
             ok &= ~self.grown(self.by_type[service], SAME_GAP)
         total = np.zeros((ok.shape[0] + 1, ok.shape[1] + 1), int)
         total[1:, 1:] = ok.cumsum(0).cumsum(1)
-        for h, w in site_shapes(math.ceil(max(area, 1.0) / CELL**2)):
-            if h > ok.shape[0] or w > ok.shape[1]:
-                continue
-            free = total[h:, w:] - total[:-h, w:] - total[h:, :-w] + total[:-h, :-w] == h * w
-            spots = np.argwhere(free)
-            if not len(spots):
-                continue
-            far = (spots[:, 0] + self.r0 - centre[0]) ** 2 + (spots[:, 1] + self.c0 - centre[1]) ** 2
-            r, c = spots[np.lexsort((spots[:, 1], spots[:, 0], far))[0]]
-            for name, drawing in PATTERNS[service].items():
+        for name, drawing in PATTERNS[service].items():
+            capacity, area = NORMS[service, name]
+            for h, w in site_shapes(math.ceil(max(area, 1.0) / CELL**2)):
                 fits = [s for s in turns(drawing) if extent(s)[0] <= h - 2 * MARGIN and extent(s)[1] <= w - 2 * MARGIN]
-                if fits:
-                    shape = min(fits, key=lambda s: ((w >= h) != (extent(s)[1] >= extent(s)[0]), abs(math.log(extent(s)[1] / extent(s)[0] * h / w)), s))
-                    up, left = (h - extent(shape)[0]) // 2, (w - extent(shape)[1]) // 2
-                    self.taken[r : r + h, c : c + w] = True
-                    self.by_type.setdefault(service, np.zeros_like(self.taken))[r : r + h, c : c + w] = True
-                    return name, int(r) + self.r0, int(c) + self.c0, h, w, len(shape), capacity, [(int(r) + up + i + self.r0, int(c) + left + j + self.c0) for i, j in shape]
+                if not fits or h > ok.shape[0] or w > ok.shape[1]:
+                    continue
+                spots = np.argwhere(total[h:, w:] - total[:-h, w:] - total[h:, :-w] + total[:-h, :-w] == h * w)
+                if not len(spots):
+                    continue
+                far = (spots[:, 0] + self.r0 - centre[0]) ** 2 + (spots[:, 1] + self.c0 - centre[1]) ** 2
+                r, c = map(int, spots[np.lexsort((spots[:, 1], spots[:, 0], far))[0]])
+                shape = min(fits, key=lambda s: ((w >= h) != (extent(s)[1] >= extent(s)[0]), abs(math.log(extent(s)[1] / extent(s)[0] * h / w)), s))
+                self.taken[r : r + h, c : c + w] = True
+                self.by_type.setdefault(service, np.zeros_like(self.taken))[r : r + h, c : c + w] = True
+                return name, r + self.r0, c + self.c0, h, w, len(shape), capacity
         return None
 
 
@@ -138,7 +143,7 @@ def place_services(cells: DataFrame) -> DataFrame:
                     site = board.place(service, level, centre)
                     if site:
                         count[service] += 1
-                        rows.append((zone, f"SITE_{service.upper()}_{count[service]:04d}", service, *site[:7], level < 0))
+                        rows.append((zone, f"SITE_{service.upper()}_{count[service]:04d}", service, *site, level < 0))
                         progress = True
                         break
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SITES.split(", ")])

@@ -214,7 +214,7 @@ def test_sites_keep_their_gaps(spark):
     sites = placement.place_services(cells).collect()
     assert len({(s.zone, s.site_id) for s in sites}) == len(sites) >= 6
     for a in sites:
-        assert a.height * a.width * placement.CELL**2 >= placement.NORMS[a.service][1]
+        assert a.height * a.width * placement.CELL**2 >= placement.NORMS[a.service, a.pattern][1]
         for b in sites:
             if a.zone == b.zone and a.site_id < b.site_id:
                 gap = lambda p, s, q, t: max(p - (q + t - 1), q - (p + s - 1))
