@@ -163,3 +163,10 @@ def rectangles(n: Column, most: int = 12) -> Column:
 def uniform(*keys: Column, seed: int = 42) -> Column:
     """A number in (0, 1) that depends only on the keys."""
     return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def number_list(x: Column) -> Column:
+    """ARRAY<DOUBLE> of a JSON list or object text, or a list literal with single quotes; null for anything else."""
+    text = F.translate(F.trim(x), "'()", '"[]')
+    values = F.coalesce(F.from_json(text, "array<string>"), F.map_values(F.from_json(text, "map<string,string>")))
+    return F.when(text.rlike(r"^[\[{]"), F.transform(values, lambda v: number(v)))

@@ -89,3 +89,16 @@ def slots_per_branch(counts: DataFrame, slots: int) -> DataFrame:
     return rows.withColumn("more", more).join(taken, ["block_id", "branch"], "left").select(
         "block_id", "branch", "n", (F.col("base") + F.col("more") - F.coalesce("less", F.lit(0))).cast("int").alias("slots")
     )
+
+
+def zone_parameters(zones: DataFrame, by_id: DataFrame, by_name: DataFrame, floors: int = 9) -> DataFrame:
+    """(zone_id, zone, target, max_floor): each field from the id's entry, else the name's, else no target and ``floors``.
+
+    by_id, by_name: (key, target, max_floor), parameter documents.
+    """
+    a = by_id.select(F.col("key").alias("zone_id"), F.col("target").alias("t1"), F.col("max_floor").alias("f1"))
+    b = by_name.select(F.col("key").alias("__name"), F.col("target").alias("t2"), F.col("max_floor").alias("f2"))
+    named = zones.withColumn("__name", F.coalesce(F.lower(F.trim("zone")), F.lit("nan")))
+    return named.join(a, "zone_id", "left").join(b, "__name", "left").select(
+        "zone_id", "zone", F.coalesce("t1", "t2").alias("target"), F.coalesce("f1", "f2", F.lit(floors)).alias("max_floor")
+    )

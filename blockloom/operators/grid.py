@@ -134,3 +134,25 @@ def zone_centres(cells: DataFrame, group: Sequence[str]) -> DataFrame:
     """(group, r_center, c_center, top): median row and column over the residential cells, else over all, and the highest level."""
     mid = lambda c: F.coalesce(F.median(F.when(F.col("residential"), F.col(c))), F.median(c))
     return cells.groupBy(*group).agg(mid("row_i").alias("r_center"), mid("col_j").alias("c_center"), F.max("level").alias("top"))
+
+
+def tag_cells(cells: DataFrame, density_rows: DataFrame, at: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, row_i, col_j, level_ids, level): the contour levels that a cell's density reaches, and the highest, or null.
+
+    cells: (group, row_i, col_j) on the raster's indices; at: (group, level) of a dozen levels a group.
+    """
+    order = Window.partitionBy(*group).orderBy("level")
+    numbered = at.select(*group, "level", (F.row_number().over(order) - 1).alias("k"))
+    values = density_rows.filter("inside").select(*group, F.col("i").alias("row_i"), F.col("j").alias("col_j"), "v")
+    reached = values.join(numbered, list(group)).filter("v >= level").groupBy(*group, "row_i", "col_j").agg(F.array_sort(F.collect_list("k")).alias("level_ids"), F.max("level").alias("level"))
+    return cells.join(reached, [*group, "row_i", "col_j"], "left").select(*cells.columns, F.coalesce("level_ids", F.array().cast("array<int>")).alias("level_ids"), "level")
+
+
+def cells_in_zones(cells: DataFrame, zones: DataFrame, key: str, geometry: str) -> DataFrame:
+    """(id, zone): the smallest zone that holds all four corners of a cell, or null. cells: (id, x0, y0, x1, y1)."""
+    from blockloom.operators.nearby import regions_of
+
+    corners = F.explode(F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x in ("x0", "x1") for y in ("y0", "y1")]))
+    held = regions_of(cells.select("id", corners.alias("c")).select("id", "c.x", "c.y").distinct(), zones, key, geometry)
+    whole = held.groupBy("id", "region").agg(F.count(F.lit(1)).alias("n")).filter("n = 4").groupBy("id").agg(F.min("region").alias("zone"))
+    return cells.select("id").join(whole, "id", "left")

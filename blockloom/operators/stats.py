@@ -195,3 +195,26 @@ def report(blocks: DataFrame, nodes: DataFrame, edges: DataFrame, branches: Data
         unpivoted(service_totals(nodes), "services", F.col("service"), ["n", "capacity"]),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def principal_angles(points: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, angle, spread): direction of the largest variance of points (group, x, y) in (-pi/2, pi/2], and its share."""
+    v = points.groupBy(*group).agg(F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("c"))
+    half = F.sqrt((F.col("vx") - F.col("vy")) * (F.col("vx") - F.col("vy")) / 4 + F.col("c") * F.col("c"))
+    return v.select(*group, (0.5 * F.atan2(2 * F.col("c"), F.col("vx") - F.col("vy"))).alias("angle"), (0.5 + half / (F.col("vx") + F.col("vy"))).alias("spread"))
+
+
+def along_axis(points: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+    """Adds place: the rank of a point along its group's principal axis; by x + y in groups of up to two."""
+    line = Window.partitionBy(*group)
+    many = F.count(F.lit(1)).over(line) > 2
+    joined = points.withColumn("__many", many).join(principal_angles(points, group), list(group))
+    t = F.when(F.col("__many"), F.col("x") * F.cos("angle") + F.col("y") * F.sin("angle")).otherwise(F.col("x") + F.col("y"))
+    return joined.withColumn("place", F.row_number().over(line.orderBy(t, key)) - 1).drop("__many", "angle", "spread")
+
+
+def main_direction(sides: DataFrame, group: Sequence[str], bins: int = 72) -> DataFrame:
+    """(group, angle): the middle of the direction bin with the greatest length, in degrees of [-90, 90). sides: (group, dx, dy)."""
+    degrees = F.pmod(F.degrees(F.atan2("dy", "dx")) + 90, F.lit(180.0))
+    per = sides.select(*group, F.least(F.floor(degrees * bins / 180), F.lit(bins - 1)).alias("b"), F.hypot("dx", "dy").alias("w")).groupBy(*group, "b").agg(F.sum("w").alias("w"))
+    return per.groupBy(*group).agg(F.max(F.struct(F.round("w", 6).alias("w"), (-F.col("b")).alias("b")))["b"].alias("b")).select(*group, ((-F.col("b") + 0.5) * 180 / bins - 90).alias("angle"))

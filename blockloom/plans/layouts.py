@@ -49,6 +49,14 @@ def contour_lines(spark, d):
     return raster.contour_lines(contour_segments(spark, d), ["event_type"]).filter("length >= 2")
 
 
+def tagged_cells(spark, d):
+    """Raster cells with the contour levels they reach."""
+    rows = cut(density_smooth(spark, d).withColumn("v", F.round("v", 9)))
+    cells = rows.select("event_type", F.col("i").alias("row_i"), F.col("j").alias("col_j"))
+    out = grid.tag_cells(cells, rows, raster.levels(rows, ["event_type"]), ["event_type"])
+    return out.select("event_type", "row_i", "col_j", F.size("level_ids").alias("n_levels"), "level")
+
+
 def block_masks(spark, d):
     masks = raster.block_mask(spatials.blocks(spark, d).select(F.col("id").alias("block_id"), F.col("wkt").alias("geometry")), 32)
     return masks.select("block_id", F.aggregate("mask", F.lit(0), lambda s, v: s + v).alias("n_inside"))
@@ -142,6 +150,13 @@ def zone_summary(spark, d):
     return allocation.zone_summary(_living(spark, d)).drop("status")
 
 
+def zone_parameters(spark, d):
+    zones = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("zone_id"), F.col("n_name").alias("zone"))
+    by_id = spark.range(5).select(F.col("id").cast("string").alias("key"), F.when(F.col("id") != 2, F.col("id") * 100e0).alias("target"), F.when(F.col("id") == 3, F.lit(4)).alias("max_floor"))
+    by_name = table(spark, d, "nation").filter("n_nationkey % 2 = 0").select(F.lower("n_name").alias("key"), F.lit(7e0).alias("target"), F.lit(5).alias("max_floor"))
+    return allocation.zone_parameters(zones, by_id, by_name)
+
+
 def fitted_areas(spark, d):
     rows = _demand(spark, d).select("c_custkey", "zone", "area", "living", "target")
     return allocation.fit_to_target(rows, ["zone"], "area", F.col("living"), "target").select("c_custkey", "zone", "area")
@@ -212,13 +227,13 @@ def collisions(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    density_hist, density_smooth, density_levels, contour_segments, contour_lines, block_masks, block_cells, block_cell_areas, neighbour_counts, three_sides, neighbour_levels,
-    building_cells, diagonal_groups, merged_groups, zone_centres, service_sites, floors_rule, waterfill, living_area, zone_summary, fitted_areas, slots_per_branch,
+    density_hist, density_smooth, density_levels, contour_segments, contour_lines, tagged_cells, block_masks, block_cells, block_cell_areas, neighbour_counts, three_sides, neighbour_levels,
+    building_cells, diagonal_groups, merged_groups, zone_centres, service_sites, floors_rule, waterfill, living_area, zone_summary, zone_parameters, fitted_areas, slots_per_branch,
     slot_matching, suppressed, repelled, sampled_blocks, sampled_zones, batches, node_targets, block_strata, loss_values, collisions,
 )}
 DOUBLES = {
-    "density_hist": "v", "density_smooth": "v", "density_levels": "level", "contour_segments": "level x1 y1 x2 y2", "contour_lines": "level length", "block_cells": "area", "block_cell_areas": "area",
-    "zone_centres": "r_center c_center", "waterfill": "x", "living_area": "living_area share", "fitted_areas": "area", "repelled": "x y",
+    "density_hist": "v", "density_smooth": "v", "density_levels": "level", "contour_segments": "level x1 y1 x2 y2", "contour_lines": "level length", "tagged_cells": "level", "block_cells": "area", "block_cell_areas": "area",
+    "zone_centres": "r_center c_center", "waterfill": "x", "living_area": "living_area share", "fitted_areas": "area", "zone_parameters": "target", "repelled": "x y",
     "zone_summary": "target_requested target_used cap_min cap_max mean_k sum_living_area", "node_targets": "total", "loss_values": "existence position area area_sum", "collisions": "collision",
 }
 
@@ -271,6 +286,8 @@ p AS (SELECT event_type, level, i, j, (a + b + c + d) / 4 >= level AS mid, a >=
 g AS (SELECT event_type, level, i, j, x[1] AS p, CASE WHEN len(x) = 2 OR mid = ha THEN x[2] ELSE x[4] END AS q FROM p WHERE len(x) >= 2
   UNION ALL SELECT event_type, level, i, j, CASE WHEN mid = ha THEN x[3] ELSE x[2] END, CASE WHEN mid = ha THEN x[4] ELSE x[3] END FROM p WHERE len(x) = 4)
 SELECT event_type, level, i, j, p[1] AS x1, p[2] AS y1, q[1] AS x2, q[2] AS y2 FROM g""",
+    "tagged_cells": f"""WITH {_SMOOTH}, dd AS (SELECT event_type, i, j, inside, round(v, 9) AS v FROM d), {_LEVELS}
+SELECT event_type, i AS row_i, j AS col_j, CAST(count(level) AS INTEGER) AS n_levels, max(level) AS level FROM dd LEFT JOIN lv ON lv.event_type = dd.event_type AND dd.inside AND dd.v >= lv.level GROUP BY dd.event_type, i, j""".replace("SELECT event_type, i AS row_i", "SELECT dd.event_type, i AS row_i"),
     "block_cell_areas": "WITH " + spatials._GEO + " SELECT id AS block_id, sum(area) AS area FROM pa WHERE kind = 'block' GROUP BY ALL",
     "merged_groups": """WITH RECURSIVE c AS (SELECT CAST(p_partkey // 400 AS VARCHAR) AS zone, (p_partkey % 400) // 20 AS r, p_partkey % 20 AS q, CAST(p_size % 3 AS VARCHAR) AS service, substr(p_type, 1, 1) AS type FROM part WHERE p_size > 15),
 k AS (SELECT *, zone || ':' || lpad(CAST(r AS VARCHAR), 6, '0') || ':' || lpad(CAST(q AS VARCHAR), 6, '0') AS node FROM c),
@@ -288,6 +305,8 @@ SELECT zone, row_i, col_j, CAST(coalesce(c.level, m.level) AS INTEGER) AS level
     "waterfill": f"WITH {_DEMAND}, " + _fill("r AS (SELECT c_custkey, zone, area * 2 AS cap, 1 / distance AS weight, target / 2 AS demand FROM c)") + " SELECT c_custkey, zone, x FROM x",
     "living_area": _LIVING + "SELECT c_custkey, zone, living_area, share FROM y",
     "zone_summary": _LIVING + "SELECT zone, max(target) AS target_requested, max(used) AS target_used, sum(0.5 * size) AS cap_min, sum(0.75 * size) AS cap_max, count(*) AS n_buildings, avg(share) AS mean_k, sum(living_area) AS sum_living_area FROM y GROUP BY zone",
+    "zone_parameters": """SELECT CAST(n_nationkey AS VARCHAR) AS zone_id, n_name AS zone, CASE WHEN n_nationkey < 5 AND n_nationkey <> 2 THEN n_nationkey * 100e0 WHEN n_nationkey % 2 = 0 THEN 7e0 END AS target,
+CAST(CASE WHEN n_nationkey = 3 THEN 4 WHEN n_nationkey % 2 = 0 THEN 5 ELSE 9 END AS INTEGER) AS max_floor FROM nation""",
     "fitted_areas": f"WITH {_DEMAND} SELECT c_custkey, zone, CASE WHEN NOT living THEN 0.0 WHEN sum(area) FILTER (living) OVER (PARTITION BY zone) > 0 THEN area * target / sum(area) FILTER (living) OVER (PARTITION BY zone) ELSE target / count(*) FILTER (living) OVER (PARTITION BY zone) END AS area FROM c",
     "collisions": f"""WITH {sequences._C}, p AS (SELECT block_id, slot_id AS id, posx AS x, posy AS y FROM c WHERE slot_id < 24),
 s AS (SELECT a.block_id, sum(greatest(0, 0.2 - sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) ** 2) AS s FROM p a JOIN p b ON a.block_id = b.block_id AND a.id < b.id GROUP BY ALL)

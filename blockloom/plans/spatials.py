@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.functions import geometry as G
-from blockloom.operators import canon, nearby, spatial
+from blockloom.operators import canon, nearby, spatial, stats
 from blockloom.plans.quality_sql import P3_FOUND
 from blockloom.session import cut, table
 
@@ -105,6 +105,20 @@ def block_orientation(spark, d):
     return sums.select("id", F.round("s", 3).alias("sin_sum"), F.round("c", 3).alias("cos_sum"))
 
 
+def _outer_sides(spark, d):
+    return blocks(spark, d).select("id", F.explode(G.sides(F.get(G.largest_part(G.parts(F.col("wkt"))), F.lit(0)))).alias("e"))
+
+
+def block_directions(spark, d):
+    """Direction bin of the greatest length of a block's sides."""
+    return stats.main_direction(_outer_sides(spark, d).select("id", (F.col("e.b.x") - F.col("e.a.x")).alias("dx"), (F.col("e.b.y") - F.col("e.a.y")).alias("dy")), ["id"])
+
+
+def principal_angles(spark, d):
+    """Share of the variance along the principal axis of a block's corners."""
+    return stats.principal_angles(_outer_sides(spark, d).select("id", F.col("e.a.x").alias("x"), F.col("e.a.y").alias("y")), ["id"]).select("id", "spread")
+
+
 def ring_zones(spark, d):
     """How far the buildings of a block are from its border: within 10 m, 10 to 30 m, or inner."""
     points = nearby.locations(buildings(spark, d), "id", "wkt")
@@ -147,12 +161,12 @@ def canonical_edges(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     building_measures, block_measures, min_rectangles, shape_classes, pip_assign, overlap_assign, assign_buildings, orphan_buildings, empty_blocks,
-    nesting_levels, services_by_building, service_rows, services_wide, block_orientation, ring_zones, service_degrees, service_spacing, block_axes,
+    nesting_levels, services_by_building, service_rows, services_wide, block_orientation, block_directions, principal_angles, ring_zones, service_degrees, service_spacing, block_axes,
     canonical_nodes, canonical_edges,
 )}
 DOUBLES = {
     "building_measures": "area perimeter", "block_measures": "area perimeter", "min_rectangles": "rect_area fill", "overlap_assign": "area",
-    "ring_zones": "dist", "service_degrees": "lon lat x y", "service_spacing": "min_nn mean_nn score", "block_axes": "length width",
+    "ring_zones": "dist", "principal_angles": "spread", "block_directions": "angle", "service_degrees": "lon lat x y", "service_spacing": "min_nn mean_nn score", "block_axes": "length width",
     "services_by_building": "capacity", "service_rows": "capacity",
 }
 
@@ -208,4 +222,10 @@ held AS (""") + " SELECT d.id, d.block_id, dist, CASE WHEN dist < 10 THEN 'ring1
     "service_spacing": "WITH " + P3_FOUND[P3_FOUND.index("spots AS"): P3_FOUND.index(",\nrings AS")] + """, s AS (SELECT coalesce(n.service_type_name, '') AS service, id, x, y FROM spots JOIN (SELECT DISTINCT service_id, service_type_name FROM services) n ON n.service_id = id WHERE kind = 'service'),
 nn AS (SELECT a.service, a.id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) FILTER (a.x <> b.x OR a.y <> b.y) AS d FROM s a LEFT JOIN s b ON a.service = b.service GROUP BY a.service, a.id)
 SELECT service, count(*) AS n, min(d) AS min_nn, avg(d) AS mean_nn, coalesce(avg(d) / 30.0, 1.0) AS score FROM nn GROUP BY service""",
+    "principal_angles": "WITH " + _GEO + """, v AS (SELECT id, var_samp(x1) AS a, var_samp(y1) AS b, covar_samp(x1, y1) AS c FROM side JOIN big USING (kind, id, k) WHERE kind = 'block' AND j = 1 GROUP BY id)
+SELECT id, 0.5 + sqrt((a - b) ** 2 / 4 + c * c) / (a + b) AS spread FROM v""",
+    "block_directions": "WITH " + _GEO + """, s AS (SELECT id, CAST(least(floor(m * 72 / 180), 71) AS INTEGER) AS b, sqrt(dx * dx + dy * dy) AS w FROM (
+  SELECT id, x2 - x1 AS dx, y2 - y1 AS dy, degrees(atan2(y2 - y1, x2 - x1)) + 90 - 180 * floor((degrees(atan2(y2 - y1, x2 - x1)) + 90) / 180) AS m FROM side JOIN big USING (kind, id, k) WHERE kind = 'block' AND j = 1)),
+t AS (SELECT id, b, round(sum(w), 6) AS w FROM s GROUP BY ALL)
+SELECT id, (b + 0.5) * 180 / 72 - 90 AS angle FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w DESC, b) AS q FROM t) WHERE q = 1""",
 }
