@@ -274,3 +274,17 @@ def test_learning_parts(spark):
     mean = graph.neighbour_mean(spark.createDataFrame([("a", 0, 2.0), ("a", 1, 4.0)], "block_id string, slot_id int, f double"), spark.createDataFrame([("a", 0, 1)], "block_id string, src_slot int, dst_slot int"), ["f"])
     assert sorted((r.slot_id, r.mean_f) for r in mean.collect()) == [(0, 0.0), (1, 2.0)]
     assert stats.split_ids(spark.createDataFrame([(f"{i}",) for i in range(5)], "block_id string"), 0.5).filter("split = 'train'").count() == 2
+
+
+def test_small_additions(spark):
+    texts = ["[1, 2.5]", "['3', 4]", '{"a": 5}', "x", None, "[1, oops]"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(S.number_list(F.col("t"))).collect()]
+    assert got[:5] == [[1.0, 2.5], [3.0, 4.0], [5.0], None, None]
+    points = spark.createDataFrame([("a", i, float(i), 2.0 * i) for i in range(5)] + [("b", 1, 5.0, 0.0), ("b", 0, 0.0, 1.0)], "g string, k int, x double, y double")
+    angles = {r.g: (r.angle, r.spread) for r in stats.principal_angles(points, ["g"]).collect()}
+    assert angles["a"] == pytest.approx((math.atan(2), 1.0))
+    places = {(r.g, r.k): r.place for r in stats.along_axis(points, ["g"], "k").collect()}
+    assert [places["a", i] for i in range(5)] == [0, 1, 2, 3, 4] and places["b", 0] == 0
+    cells = spark.createDataFrame([("c", 1.0, 1.0, 2.0, 2.0), ("d", 3.0, 2.5, 5.0, 4.0)], "id string, x0 double, y0 double, x1 double, y1 double")
+    zones = spark.createDataFrame([("z", SQUARE)], "k string, geometry string")
+    assert {r.id: r.zone for r in grid.cells_in_zones(cells, zones, "k", "geometry").collect()} == {"c": "z", "d": None}
