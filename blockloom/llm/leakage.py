@@ -47,7 +47,7 @@ WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 UNICODE = re.compile(r"\\+[uU]\{?([0-9a-fA-F]{4})\}?|\\+x([0-9a-fA-F]{2})")
 BREAK, ESCAPE = re.compile(r"\\+[nr]"), re.compile(r"\\+[tbfv]")
-GUTTER = re.compile(r"""^([\s"',#>*/]*)\d{1,6}\s?[|│]""", re.M)  # line numbers before a bar
+GUTTER = re.compile(r"""^([ \t"',#>*/]*)\d{1,6} ?[|│]""", re.M)  # line numbers before a bar
 ANSI = re.compile(r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b[@-_]")
 TAG = re.compile(r"</?[A-Za-z][^<>]{0,400}>|<!--.{0,400}?-->", re.S)
 ENTITY = re.compile(r"&#?\w{2,8};")
