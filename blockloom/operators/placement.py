@@ -1,7 +1,7 @@
 """Order-dependent placement inside one zone or block: service sites, slot matching, suppression, repulsion.
 
 These are sequential by nature: every decision depends on those before. The unit is a zone or a
-block of bounded size, one grouped-map call each.
+block, one grouped-map call each; a block has no size bound, so none holds all pairs of its rows at once.
 """
 
 from __future__ import annotations
@@ -160,14 +160,18 @@ def match_slots(slots: DataFrame, targets: DataFrame, block: str = "block_id") -
         a, b = a.sort_values("slot_id"), b.sort_values(["active", "target_id"], ascending=[False, True])
         if a.empty or b.empty:
             return pd.DataFrame({block: [], "slot_id": [], "target_id": []})
-        d = (a["x"].to_numpy()[:, None] - b["x"].to_numpy()) ** 2 + (a["y"].to_numpy()[:, None] - b["y"].to_numpy()) ** 2
+        ax, ay, bx, by = (c.to_numpy(float) for c in (a["x"], a["y"], b["x"], b["y"]))
         got = np.full(len(a), -1)
-        for t in range(len(b)):
-            free = np.flatnonzero(got < 0)
-            if not len(free):
-                break
-            got[free[np.argmin(d[free, t])]] = t
-        got = np.where(got < 0, d.argmin(axis=1), got)
+        # the free slots in order: their numbers and places are the first n of each array
+        number, fx, fy, n = np.arange(len(a)), ax.copy(), ay.copy(), len(a)
+        for t in range(min(len(a), len(b))):
+            k = int(np.argmin((fx[:n] - bx[t]) ** 2 + (fy[:n] - by[t]) ** 2))
+            got[number[k]] = t
+            for c in (number, fx, fy):
+                c[k : n - 1] = c[k + 1 : n]
+            n -= 1
+        for s in number[:n]:
+            got[s] = np.argmin((ax[s] - bx) ** 2 + (ay[s] - by) ** 2)
         return pd.DataFrame({block: a[block].iloc[0], "slot_id": a["slot_id"], "target_id": b["target_id"].to_numpy()[got]})
 
     kinds = dict(slots.dtypes)
@@ -178,19 +182,18 @@ def suppress(rects: DataFrame, block: str = "block_id", share: float = 0.10, nea
     """The rectangles (block_id, id, x, y, w, h, score) kept when each must not overlap or crowd a better one of its block."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        kept: list = []
-        for r in pdf.itertuples():
-            ok = True
-            for k in kept:
-                ix = max(0.0, min(r.x + r.w / 2, k.x + k.w / 2) - max(r.x - r.w / 2, k.x - k.w / 2))
-                iy = max(0.0, min(r.y + r.h / 2, k.y + k.h / 2) - max(r.y - r.h / 2, k.y - k.h / 2))
-                union = r.w * r.h + k.w * k.h - ix * iy
-                if ix * iy > share * union or math.hypot(r.x - k.x, r.y - k.y) < near * math.sqrt(max(r.w * r.h, 1e-12)):
-                    ok = False
-                    break
-            if ok:
-                kept.append(r)
-        return pdf[pdf["id"].isin([k.id for k in kept])]
+        rows = pdf[["x", "y", "w", "h"]].to_numpy(float)
+        kept, n, chosen = np.empty_like(rows), 0, np.zeros(len(rows), bool)
+        less, more = (lambda a, b: np.where(b < a, b, a)), (lambda a, b: np.where(b > a, b, a))  # as min and max take a NaN
+        for k, (x, y, w, h) in enumerate(rows):
+            kx, ky, kw, kh = kept[:n].T
+            ix = more(0.0, less(x + w / 2, kx + kw / 2) - more(x - w / 2, kx - kw / 2))
+            iy = more(0.0, less(y + h / 2, ky + kh / 2) - more(y - h / 2, ky - kh / 2))
+            far = near * math.sqrt(max(w * h, 1e-12))
+            if not ((ix * iy > share * (w * h + kw * kh - ix * iy)) | (np.hypot(x - kx, y - ky) < far)).any():
+                kept[n], chosen[k] = rows[k], True
+                n += 1
+        return pdf[chosen]
 
     return rects.groupBy(block).applyInPandas(run, rects.schema)
 
@@ -199,23 +202,31 @@ def repel(points: DataFrame, block: str, least: float, sweeps: int = 12, box: Se
     """(block, id, x, y) with points of a block pushed apart to ``least``, pair after pair, kept inside the box."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
-        p = pdf[["x", "y"]].to_numpy(float)
+        x, y = pdf["x"].to_numpy(float).copy(), pdf["y"].to_numpy(float).copy()
+        low, high = map(float, box)
         for _ in range(sweeps):
             moved = False
-            for i in range(len(p)):
-                d = p - p[i]
-                n = np.hypot(*d.T)
-                close = np.flatnonzero((n < least - 1e-12) & (np.arange(len(p)) > i))
-                for j in close:
-                    v = p[j] - p[i]
-                    size = float(np.hypot(*v))
+            for i in range(len(x)):
+                px, py = float(x[i]), float(y[i])
+                close = i + 1 + np.flatnonzero(np.hypot(x[i + 1 :] - px, y[i + 1 :] - py) < least - 1e-12)
+                if not len(close):
+                    continue
+                moved, xs, ys = True, x[close].tolist(), y[close].tolist()
+                for k, (qx, qy) in enumerate(zip(xs, ys)):
+                    vx, vy = qx - px, qy - py
+                    size = math.hypot(vx, vy)
                     if size >= least:
                         continue
-                    u = v / size if size > 1e-9 else np.array([math.cos(i + j), math.sin(i + j)])
-                    push = u * (least - size) / 2
-                    p[i], p[j], moved = np.clip(p[i] - push, *box), np.clip(p[j] + push, *box), True
+                    if size > 1e-9:
+                        ux, uy = vx / size * (least - size) / 2, vy / size * (least - size) / 2
+                    else:
+                        j = i + int(close[k])
+                        ux, uy = math.cos(j) * (least - size) / 2, math.sin(j) * (least - size) / 2
+                    px, py = min(max(px - ux, low), high), min(max(py - uy, low), high)
+                    xs[k], ys[k] = min(max(qx + ux, low), high), min(max(qy + uy, low), high)
+                x[i], y[i], x[close], y[close] = px, py, xs, ys
             if not moved:
                 break
-        return pdf.assign(x=p[:, 0], y=p[:, 1])
+        return pdf.assign(x=x, y=y)
 
     return points.groupBy(block).applyInPandas(run, points.schema)

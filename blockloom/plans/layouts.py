@@ -168,15 +168,16 @@ def slots_per_branch(spark, d):
 
 
 def slot_matching(spark, d):
-    """Slots of a 5 x 5 lattice matched to the first 24 nodes of every block."""
-    nodes = sequences.slots(spark, d).filter("slot_id < 24").select("block_id", F.col("slot_id").alias("target_id"), F.lit(True).alias("active"), F.col("posx").alias("x"), F.col("posy").alias("y"))
-    lattice = nodes.select("block_id").distinct().withColumn("slot_id", F.explode(F.sequence(F.lit(0), F.lit(24))))
-    lattice = lattice.select("block_id", "slot_id", (F.expr("slot_id % 5") / 2 - 1).alias("x"), (F.expr("slot_id div 5") / 2 - 1).alias("y"))
+    """Slots of a square lattice, 5 x 5 or as large as all nodes of the block need, matched to the nodes of every block."""
+    nodes = sequences.slots(spark, d).select("block_id", F.col("slot_id").alias("target_id"), F.lit(True).alias("active"), F.col("posx").alias("x"), F.col("posy").alias("y"))
+    side = F.greatest(F.ceil(F.sqrt(F.count(F.lit(1)))), F.lit(5)).alias("side")
+    lattice = nodes.groupBy("block_id").agg(side).withColumn("slot_id", F.explode(F.expr("sequence(0, cast(side * side - 1 as int))")))
+    lattice = lattice.select("block_id", "slot_id", (F.expr("slot_id % side") * 2 / (F.col("side") - 1) - 1).alias("x"), (F.expr("slot_id div side") * 2 / (F.col("side") - 1) - 1).alias("y"))
     return placement.match_slots(lattice, nodes)
 
 
 def _rects(spark, d):
-    rows = sequences.slots(spark, d).filter("slot_id < 24")
+    rows = sequences.slots(spark, d)
     return rows.select("block_id", F.col("slot_id").alias("id"), F.col("posx").alias("x"), F.col("posy").alias("y"), F.col("size_x").alias("w"), F.col("size_y").alias("h"), number(F.col("a_i"), 0).alias("score"))
 
 
