@@ -9,7 +9,7 @@ too few word pairs of the items for WINDOW words within EDITS edits (the q-gram
 edit destroys at most two pairs). Candidates are embedded and looked up the same way, and
 every hit is verified by an exact banded alignment: a run of at least WINDOW words of the
 item in which every replaced, lost or added word has at least APART kept words before the
-next one. (Sentences of one pattern with other names agree in most words, but not so.)
+next one; the first may follow any kept word. (Sentences of one pattern with other names agree in most words, but not so.)
 
 The work is narrow: no shuffle, no state but the items' windows. ITEMS items are held at
 once; more are taken in blocks, each against all documents.
@@ -141,8 +141,10 @@ def longest_runs(text: np.ndarray, p: np.ndarray, item: np.ndarray, q: np.ndarra
     """The longest passage around the places p of the text and q of the items, aligned within BAND."""
     shift = np.arange(-BAND, BAND + 1)
     none = np.zeros((len(p), 2 * BAND + 1), np.int16)
-    # (length of the run, kept words since its last edit) of the last two words
-    one, two, best = (none, none), (none, none), np.zeros(len(p), np.int16)
+    # the longest run by kept words since its last edit (1, 2, .. APART and more); a run without an edit may have one at once
+    kept = [none] * APART
+    # the last of them, to which an edit may follow, of the last two words
+    one, two, best = none, none, np.zeros(len(p), np.int16)
 
     def moved(x: np.ndarray, by: int) -> np.ndarray:
         out = np.zeros_like(x)
@@ -156,16 +158,15 @@ def longest_runs(text: np.ndarray, p: np.ndarray, item: np.ndarray, q: np.ndarra
         a = text[np.clip(p + i, 0, len(text) - 1)]
         b = item[np.clip(q[:, None] + i + shift, 0, len(item) - 1)]
         same = (a[:, None] == b) & (b > 0)
-        run, kept = one[0] + 1, np.minimum(one[1] + 1, APART)
+        edited = none
         # a replaced word (in code one for up to three, as in a_b(c)), a word the item doesn't have, a word the text doesn't have
-        for (n, k), by, more in ((two, 0, 2), (two, -1, 3), (two, -2, 4), (two, 1, 1), (one, -1, 2)):
-            n, k = (moved(n, by), moved(k, by)) if by else (n, k)
-            other = np.where(k >= APART, n + more, 0)
-            longer = other > run
-            run, kept = np.where(longer, other, run), np.where(longer, 1, kept)
-        now = np.where(same, run, 0).astype(np.int16), np.where(same, kept, 0).astype(np.int16)
-        best = np.maximum(best, now[0].max(axis=1))
-        two, one = one, now
+        for n, by, more in ((two, 0, 2), (two, -1, 3), (two, -2, 4), (two, 1, 1), (one, -1, 2)):
+            n = moved(n, by) if by else n
+            edited = np.maximum(edited, np.where(n > 0, n + more, 0))
+        longer = [np.where(n > 0, n + 1, 0) for n in kept[:-1]]
+        kept = [np.where(same, n, 0).astype(np.int16) for n in (edited, *longer[:-1], np.maximum(longer[-1], kept[-1] + 1))]
+        best = np.maximum(best, np.max(kept, axis=0).max(axis=1))
+        two, one = one, kept[-1]
     return best
 
 
