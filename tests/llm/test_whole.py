@@ -1,9 +1,12 @@
 """Passages and names that were once passed over."""
 
+import time
+
 import numpy as np
 import pytest
 
-from blockloom.llm import leakage
+from blockloom.llm import canonical, leakage
+from tests.llm.test_llm_operators import REFERENCE
 
 
 def found(text, item):
@@ -27,3 +30,16 @@ def test_passage_after_a_close_edit():
     assert int(leakage.longest_runs(text, np.array([60]), item, np.array([60]))[0]) == 19
     text[85] = 26
     assert int(leakage.longest_runs(text, np.array([60]), item, np.array([60]))[0]) == 20
+
+
+def test_padded_names(spark):
+    pad = "​" * 900
+    values = ["Детский" + " " * 900 + "сад", pad + "Детский сад", "Детский сад [" + " " * 900 + "1]", "Детский сад (строит" + "ельство" * 150 + ")", "Маяк" + " " * 900 + "Север"]
+    df = spark.createDataFrame([("service", v) for v in values], "kind string, value string")
+    ref = spark.createDataFrame(REFERENCE, "canon_id long, kind string, canon_name string, name_en string, also_known array<string>")
+    got = {r.value: r.canon_id for r in canonical.canonical(df, ref).collect()}
+    assert [got[v] for v in values] == [1, 1, 1, 1, -1]
+    entries = tuple((i, (name,), 0) for i, _, name, *_ in REFERENCE)
+    began = time.time()
+    canonical.resolver(entries)("Детский" + " " * 200_000 + "сад")
+    assert time.time() - began < 5
