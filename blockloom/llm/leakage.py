@@ -49,11 +49,23 @@ UNICODE = re.compile(r"\\+[uU]\{?([0-9a-fA-F]{4})\}?|\\+x([0-9a-fA-F]{2})")
 BREAK, ESCAPE = re.compile(r"\\+[nr]"), re.compile(r"\\+[tbfv]")
 GUTTER = re.compile(r"""^([ \t"',#>*/]*)\d{1,6} ?[|│]""", re.M)  # line numbers before a bar
 ANSI = re.compile(r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b[@-_]")
-TAG = re.compile(r"</?[A-Za-z][^<>]{0,400}>|<!--.{0,400}?-->", re.S)
+# a tag, or a longer one of nothing but attributes: in code, "a <b" may be far from the next ">"
+TAG = re.compile(
+    r"""</?[A-Za-z](?:[^<>]{0,400}>|[\w:-]*+(?:\s++[\w:@-]++(?:\s*+=\s*+(?:\\*+"[^"<>]*+"|\\*+'[^'<>]*+'|[^\s"'<>]++))?)*+\s*+/?>)"""
+)
 ENTITY = re.compile(r"&#?\w{2,8};")
 HIDDEN = re.compile("[\xad͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯︀-️﻿￹-￻]")
 
 
+def outside_comments(text: str) -> list[str]:
+    """The parts of the text before, between and after comments; one that doesn't end is text."""
+    parts, at = [], 0
+    while (begin := text.find("<!--", at)) >= 0 and (end := text.find("-->", begin + 4)) >= 0:
+        parts.append(text[at:begin])
+        at = end + 3
+    return [*parts, text[at:]]
+
+
 def plain(text: str) -> str:
     """The text without escapes, terminal codes, tags, entities, numbers of lines and invisible characters."""
     if "\\" in text:
@@ -62,7 +74,7 @@ def plain(text: str) -> str:
     if "\x1b" in text:
         text = ANSI.sub("", text)
     if "<" in text:
-        text = TAG.sub(" ", text)
+        text = " ".join(TAG.sub(" ", t) for t in outside_comments(text))
     if "&" in text:
         text = ENTITY.sub(lambda m: html.unescape(m[0]), text)
     if "|" in text or "│" in text:

@@ -32,6 +32,21 @@ def test_passage_after_a_close_edit():
     assert int(leakage.longest_runs(text, np.array([60]), item, np.array([60]))[0]) == 20
 
 
+def test_long_tags_and_comments():
+    item = [f"word{i}" for i in range(60)]
+    half = " ".join(item[10:21]), " ".join(item[21:32])
+    for tag in (f'<img alt="" src="data:{"ab/ " * 300}"/>', f"<p class=x style='{'left: 0; ' * 100}' hidden>", f"<!-- {'note <b> ' * 100} -->"):
+        assert len(tag) > 400 and leakage.words(half[0] + tag + half[1]) == item[10:32]
+        assert found(half[0] + tag + half[1], item)
+    code = f"if a <b then {'; '.join([half[0]] * 9)} -> c"
+    assert len(leakage.words(code)) == 4 + 99 + 1
+    assert leakage.words("a <!-- b") == ["a", "b"]
+    began = time.time()
+    for t in ("<!--" * 100_000, "<a " * 100_000, "<a" + " b" * 200_000, "<a " + 'b="' * 100_000, "<a" + " " * 200_000):
+        leakage.plain(t)
+    assert time.time() - began < 10
+
+
 def test_padded_names(spark):
     pad = "​" * 900
     values = ["Детский" + " " * 900 + "сад", pad + "Детский сад", "Детский сад [" + " " * 900 + "1]", "Детский сад (строит" + "ельство" * 150 + ")", "Маяк" + " " * 900 + "Север"]
