@@ -17,8 +17,8 @@ from blockloom.session import spread_out
 AROUND = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0)]
 
 
-def cells_of_blocks(blocks: DataFrame, cell: float) -> DataFrame:
-    """(block_id, cell_id, row_i, col_j, area): cells at multiples of the size, clipped to the block, numbered row by row."""
+def clipped_cells(blocks: DataFrame, cell: float) -> DataFrame:
+    """(block_id, gi, gj, area): cells at multiples of the size, clipped to the block; gi and gj count from the origin."""
     boxes = with_box(blocks.select("block_id", "geometry"))
     at = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.ceil(F.col(b) / cell) - 1))
     rows = boxes.filter("xmax > xmin and ymax > ymin").select("block_id", "geometry", "xmin", "xmax", at("ymin", "ymax").alias("gi")).select("*", at("xmin", "xmax").alias("gj"))
@@ -36,7 +36,12 @@ def cells_of_blocks(blocks: DataFrame, cell: float) -> DataFrame:
             out = pdf[["block_id", "gi", "gj"]].assign(area=np.array(sizes, float))
             yield out[out["area"] > 1e-6]
 
-    kept = spread_out(rows.select("block_id", "geometry", "gi", "gj")).mapInPandas(run, "block_id string, gi long, gj long, area double")
+    return spread_out(rows.select("block_id", "geometry", "gi", "gj")).mapInPandas(run, "block_id string, gi long, gj long, area double")
+
+
+def cells_of_blocks(blocks: DataFrame, cell: float) -> DataFrame:
+    """(block_id, cell_id, row_i, col_j, area): cells at multiples of the size, clipped to the block, numbered row by row."""
+    kept = clipped_cells(blocks, cell)
     block = Window.partitionBy("block_id")
     return kept.select(
         "block_id", (F.row_number().over(block.orderBy("gi", "gj")) - 1).alias("cell_id"), (F.col("gi") - F.min("gi").over(block)).alias("row_i"), (F.col("gj") - F.min("gj").over(block)).alias("col_j"), "area"

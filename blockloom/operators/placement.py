@@ -98,6 +98,8 @@ class Board:
     def place(self, service: str, level: int, centre: tuple[float, float]):
         """The first site near the centre that keeps all gaps and holds a building of the service, or None."""
         ok = (self.level >= level if level >= 0 else self.exists & (self.level < 0)) & ~self.taken & ~self.house
+        if ok.sum() < min(math.ceil(NORMS[service, name][1] / CELL**2) for name in PATTERNS[service]):
+            return None
         ok &= ~self.grown(self.house, HOUSE_GAP) & ~self.grown(self.taken, SITE_GAP)
         if service in self.by_type:
             ok &= ~self.grown(self.by_type[service], SAME_GAP)
@@ -133,15 +135,17 @@ def place_services(cells: DataFrame) -> DataFrame:
         zone, board = pdf["zone"].iloc[0], Board(pdf)
         centre = float(pdf["row_i"].median()), float(pdf["col_j"].median())
         top = int(board.level.max())
-        rows, count, progress = [], dict.fromkeys(ORDER, 0), True
+        rows, count, full, progress = [], dict.fromkeys(ORDER, 0), set(), True
         while progress:
             progress = False
             for service in ORDER:
                 if count[service] >= MOST[service]:
                     continue
                 for level in [*range(top, -1, -1), -1]:
-                    site = board.place(service, level, centre)
-                    if site:
+                    site = None if (service, level) in full else board.place(service, level, centre)
+                    if not site:
+                        full.add((service, level))  # room is only ever taken
+                    else:
                         count[service] += 1
                         rows.append((zone, f"SITE_{service.upper()}_{count[service]:04d}", service, *site, level < 0))
                         progress = True

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.functions.scalars import number
-from blockloom.operators import allocation, grid, learning, placement, raster, sampling, stats
+from blockloom.operators import allocation, grid, learning, nearby, placement, raster, sampling, stats
 from blockloom.plans import sequences, spatials
 from blockloom.session import cut, table
 
@@ -111,11 +111,14 @@ def zone_centres(spark, d):
 
 
 def service_sites(spark, d):
-    """Sites on boards of 80 x 80 cells, most of them free."""
-    k = F.col("id")
-    cells = spark.range(4 * 6400).select(
-        F.expr("id div 6400").cast("string").alias("zone"), F.expr("(id % 6400) div 80").alias("row_i"), (k % 80).alias("col_j"), F.expr("(id % 6400) div 80 > 5").alias("inside"),
-        F.expr("((id % 6400) div 80) % 4").alias("level"), (F.expr("(id % 6400) div 80") % 40 == 6).alias("is_building"),
+    """Sites on the cells of every block; a cell that the border cuts below one half is outside, one with a building's centre is built."""
+    size = placement.CELL
+    cells = grid.clipped_cells(spatials.blocks(spark, d).select(F.col("id").alias("block_id"), F.col("wkt").alias("geometry")), size)
+    at = lambda v: F.floor((F.col(f"{v}min") + F.col(f"{v}max")) / 2 / size)
+    houses = nearby.with_box(spatials.buildings(spark, d), "wkt").select(at("y").alias("gi"), at("x").alias("gj")).distinct().withColumn("is_building", F.lit(True))
+    cells = cells.join(houses, ["gi", "gj"], "left").select(
+        F.col("block_id").alias("zone"), F.col("gi").alias("row_i"), F.col("gj").alias("col_j"), (F.col("area") >= size * size / 2).alias("inside"),
+        F.pmod("gi", F.lit(4)).alias("level"), F.coalesce("is_building", F.lit(False)).alias("is_building"),
     )
     return placement.place_services(cells)
 

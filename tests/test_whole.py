@@ -39,3 +39,17 @@ def test_all_slots_of_a_block(spark, folder):
             else:
                 kept[b].append(r)
     assert {(r.block_id, r.id) for r in layouts.suppressed(spark, folder).collect()} == {(b, r.slot_id) for b, rows in kept.items() for r in rows}
+
+
+def test_sites_are_on_blocks(spark, folder):
+    from pyspark.sql import functions as F
+
+    from blockloom.operators import grid
+    from blockloom.plans import spatials
+
+    blocks = spatials.blocks(spark, folder).select(F.col("id").alias("block_id"), F.col("wkt").alias("geometry"))
+    cells = {(r.block_id, r.gi, r.gj) for r in grid.clipped_cells(blocks, 15.0).collect()}
+    sites = layouts.service_sites(spark, folder).collect()
+    assert sites and len({s.zone for s in sites}) > 4
+    for s in sites:
+        assert all((s.zone, s.row_i + i, s.col_j + j) in cells for i in range(s.height) for j in range(s.width))
