@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 NUMBERS, FLAGS = ("floors_num", "living_area"), ("is_living", "has_floors")
 GAP = 10
 YEARS = (1500, 2200)
+SALTS = 16  # parts of the cells of one time
 
 
 def storeys(text: Column) -> Column:
@@ -80,20 +81,16 @@ def timeline(sums: DataFrame, wanted: DataFrame, gap: int) -> DataFrame:
     return x.select("series", "year", "field", got.alias("got")).filter("got is not null").select("series", "year", "field", "got.*")
 
 
-def fill_missing(df: DataFrame, gap: int = GAP) -> DataFrame:
-    """(building_id, field, value, method, distance): one row per missing cell of the buildings."""
-    cells = long_cells(observed(df))
-    missing = cells.filter("not ok").select("building_id", "series", "year", "field")
-    sums = cells.filter("ok and number is not null").groupBy("series", "year", "field").agg(F.sum("number").alias("total"), F.count("number").alias("n"))
+def resolved(sums: DataFrame, wanted: DataFrame, gap: int) -> DataFrame:
+    """(series, year, field, best) of the wanted times, null series and years too: the first step that has a value."""
     timed = sums.filter("series is not null and year is not null")
-    wanted = missing.filter("series is not null and year is not null").select("series", "year", "field").distinct()
     steps = [
-        (timeline(timed, wanted, gap), ["series", "year", "field"], None),
+        (timeline(timed, wanted.filter("series is not null and year is not null"), gap), ["series", "year", "field"], None),
         (summary(sums.filter("series is not null"), ["series"]), ["series", "field"], "series_overall"),
         (summary(sums.filter("year is not null"), ["year"]), ["year", "field"], "year_overall"),
         (summary(sums, []), ["field"], "overall"),
     ]
-    out = missing
+    out = wanted
     for k, (values, on, method) in enumerate(steps):
         values = values if method is None else values.select(*on, "v", F.lit(method).alias("method"), F.lit(None).cast("int").alias("distance"))
         values = values.select(*on, F.struct("v", "method", "distance").alias(f"s{k}"))
@@ -101,7 +98,27 @@ def fill_missing(df: DataFrame, gap: int = GAP) -> DataFrame:
             values = F.broadcast(values)
         out = out.join(values, on, "left")
     best = F.coalesce(*[F.when(F.col(f"s{k}.v").isNotNull(), F.col(f"s{k}")) for k in range(len(steps))])
+    return out.select("series", "year", "field", best.alias("best"))
+
+
+def fill_missing(df: DataFrame, gap: int = GAP) -> DataFrame:
+    """(building_id, field, value, method, distance): one row per missing cell of the buildings.
+
+    Values are found once per time and field that lacks any (at most YEARS times 4 per series) and joined
+    back to the cells, salted, so neither a series nor the cells without one load one task.
+    """
+    cells = long_cells(observed(df))
+    missing = cells.filter("not ok").select("building_id", "series", "year", "field")
+    sums = cells.filter("ok and number is not null").groupBy("series", "year", "field").agg(F.sum("number").alias("total"), F.count("number").alias("n"))
+    best = resolved(sums, missing.select("series", "year", "field").distinct(), gap)
+    keyed = best.select(F.struct("series", "year", "field").alias("at"), "best", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = missing.select("building_id", "field", F.struct("series", "year", "field").alias("at"), F.pmod(F.hash("building_id"), F.lit(SALTS)).alias("salt"))
     value = F.when((F.col("field") == "floors_num") & (F.col("best.v") < 1), 1.0).when(F.col("field") == "floors_num", F.round(F.col("best.v"))).otherwise(F.col("best.v"))
-    return out.select("building_id", "field", best.alias("best")).select(
+    return salted.join(keyed, ["at", "salt"], "left").select(
         "building_id", "field", value.alias("value"), F.coalesce("best.method", F.lit("none")).alias("method"), "best.distance"
     )
+
+
+def marked(filled: DataFrame) -> DataFrame:
+    """(building_id, field) of the cells that the filling marks: with the method that gave a value, or as without any."""
+    return filled.filter("method <> 'none' or value is null").select("building_id", "field").distinct()

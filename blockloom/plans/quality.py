@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.operators import filling, nearby, profile, references
+from blockloom.plans.quality_sql import SQL  # noqa: F401
 from blockloom.session import table
 
 CLOSE_M = 30.0
@@ -49,7 +50,7 @@ def p4_current(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return filling.fill_missing(table(spark, d, "buildings")).select("building_id", "field").distinct()
+    return filling.marked(p5_filled(spark, d))
 
 
 def p5_filled(spark: SparkSession, d: str) -> DataFrame:
@@ -75,3 +76,4 @@ def p6_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_current, p5_found, p5_filled, p6_found, p6_profile)}
+DOUBLES = {"p5_filled": "value", "p6_profile": "null_share min_number max_number mean mean_shift_sd"}

@@ -99,6 +99,69 @@ SELECT DISTINCT building_id, field FROM (
 )
 """
 
+_CELLS = r"""
+latest AS (
+  SELECT * FROM buildings
+  QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY loaded_at DESC NULLS LAST, series DESC NULLS LAST, built_year DESC NULLS LAST,
+    floors_num DESC NULLS LAST, living_area DESC NULLS LAST, is_living DESC NULLS LAST, has_floors DESC NULLS LAST) = 1
+),
+b AS (
+  SELECT building_id, series, CASE WHEN built_year BETWEEN 1500 AND 2200 THEN built_year END AS year, is_living, has_floors,
+         CASE WHEN n BETWEEN 1 AND 150 THEN n END AS floors,
+         CASE WHEN isfinite(living_area) AND living_area BETWEEN 0 AND 200000 THEN living_area END AS area
+  FROM (SELECT *, try_cast(regexp_extract(floors_num, '^[\s\x{00A0}]*\+?0*(\d{1,3})([.,]0*)?[\s\x{00A0}]*([-–]?[\s\x{00A0}]*\p{L}+\.?)?[\s\x{00A0}]*$', 1) AS INTEGER) AS n FROM latest)
+),
+cells AS (
+  SELECT building_id, series, year, 'floors_num' AS field, floors IS NOT NULL OR has_floors IS NOT DISTINCT FROM false AS ok, CAST(floors AS DOUBLE) AS number FROM b
+  UNION ALL SELECT building_id, series, year, 'living_area', area IS NOT NULL AND NOT (area = 0 AND is_living IS NOT DISTINCT FROM true), area FROM b
+  UNION ALL SELECT building_id, series, year, 'is_living', is_living IS NOT NULL, CAST(is_living AS INTEGER) FROM b
+  UNION ALL SELECT building_id, series, year, 'has_floors', has_floors IS NOT NULL, CAST(has_floors AS INTEGER) FROM b
+)"""
+
+
+def _mean(by: str) -> str:
+    keys = f"{by}, " if by else ""
+    where = " AND ".join(f"{c} IS NOT NULL" for c in by.split(", ")) if by else "true"
+    mean = "CASE WHEN field IN ('is_living', 'has_floors') THEN CAST(avg(number) >= 0.5 AS INTEGER) ELSE sum(number) / count(number) END"
+    return f"SELECT {keys}field, {mean} AS v FROM cells WHERE ok AND number IS NOT NULL AND {where} GROUP BY {keys}field"
+
+
+P5_FILLED = (
+    "WITH " + _CELLS + f""",
+years AS ({_mean("series, year")}), per_series AS ({_mean("series")}), per_year AS ({_mean("year")}), overall AS ({_mean("")}),
+missing AS (SELECT * FROM cells WHERE NOT ok),
+near AS (
+  SELECT m.building_id, m.field,
+         max_by({{'y': y.year, 'v': y.v}}, y.year) FILTER (WHERE y.year < m.year) AS a,
+         min_by({{'y': y.year, 'v': y.v}}, y.year) FILTER (WHERE y.year > m.year) AS z,
+         max(y.v) FILTER (WHERE y.year = m.year) AS same
+  FROM missing m JOIN years y ON m.series = y.series AND m.field = y.field GROUP BY ALL
+),
+joined AS (
+  SELECT m.*, n.same, n.a.v AS av, n.z.v AS zv, m.year - n.a.y AS da, n.z.y - m.year AS dz, s.v AS sv, y.v AS yv, o.v AS ov
+  FROM missing m LEFT JOIN near n ON m.building_id IS NOT DISTINCT FROM n.building_id AND m.field = n.field AND m.year IS NOT NULL
+  LEFT JOIN per_series s ON m.series = s.series AND m.field = s.field
+  LEFT JOIN per_year y ON m.year = y.year AND m.field = y.field
+  LEFT JOIN overall o ON m.field = o.field
+),
+judged AS (
+  SELECT *, CASE WHEN same IS NOT NULL THEN 'same_year'
+    WHEN field IN ('floors_num', 'living_area') AND av IS NOT NULL AND zv IS NOT NULL THEN 'interpolated'
+    WHEN least(da, dz) <= 10 THEN CASE WHEN dz IS NULL OR da <= dz THEN 'carried_forward' ELSE 'carried_backward' END
+    WHEN sv IS NOT NULL THEN 'series_overall' WHEN yv IS NOT NULL THEN 'year_overall' WHEN ov IS NOT NULL THEN 'overall' ELSE 'none' END AS method
+  FROM joined
+),
+valued AS (
+  SELECT *, CASE method WHEN 'same_year' THEN same WHEN 'interpolated' THEN av + (zv - av) * da / (da + dz) WHEN 'carried_forward' THEN av
+    WHEN 'carried_backward' THEN zv WHEN 'series_overall' THEN sv WHEN 'year_overall' THEN yv WHEN 'overall' THEN ov END AS v
+  FROM judged
+)
+SELECT building_id, field, CASE WHEN field = 'floors_num' THEN greatest(round(v), 1) ELSE v END AS value, method,
+       CASE method WHEN 'same_year' THEN 0 WHEN 'interpolated' THEN least(da, dz) WHEN 'carried_forward' THEN da WHEN 'carried_backward' THEN dz END AS distance
+FROM valued
+"""
+)
+
 _VALUES = """
 zones AS (SELECT DISTINCT name_en FROM canon_names WHERE kind = 'zone'),
 v AS (
@@ -130,4 +193,24 @@ UNION ALL SELECT tbl, col, load_id, 'shift' FROM shares GROUP BY ALL HAVING sum(
 """
 )
 
-SQL = {"p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_current": P4_CURRENT, "p5_found": P5_FOUND, "p6_found": P6_FOUND}
+P6_PROFILE = (
+    "WITH " + _VALUES + """,
+x AS (SELECT *, try_cast(value AS DECIMAL(38, 6)) AS num FROM v),
+per AS (
+  SELECT tbl, col, load_id, count(*) AS n_rows, count(*) - count(value) AS n_null, count(DISTINCT value) AS n_distinct,
+         count(*) FILTER (WHERE value IS NOT NULL AND legal IS NOT TRUE) AS n_illegal, min(value) AS min_text, max(value) AS max_text,
+         CAST(min(num) AS DOUBLE) AS min_number, CAST(max(num) AS DOUBLE) AS max_number,
+         count(num) AS c, sum(CAST(num AS DOUBLE)) AS s1, sum(CAST(num AS DOUBLE) ** 2) AS s2
+  FROM x GROUP BY ALL
+),
+every AS (
+  SELECT tbl, col, sum(c) AS c, sum(CAST(s1 AS DOUBLE)) / sum(c) AS m, sqrt(greatest(sum(CAST(s2 AS DOUBLE)) / sum(c) - (sum(CAST(s1 AS DOUBLE)) / sum(c)) ** 2, 0)) AS sd
+  FROM per GROUP BY ALL
+)
+SELECT tbl, col, load_id, n_rows, n_null, n_null / n_rows AS null_share, n_distinct, n_illegal, min_text, max_text, min_number, max_number,
+       CAST(s1 AS DOUBLE) / nullif(p.c, 0) AS mean, CASE WHEN sd > 0 THEN (CAST(s1 AS DOUBLE) / nullif(p.c, 0) - m) / sd END AS mean_shift_sd, true AS exact
+FROM per p JOIN every e USING (tbl, col)
+"""
+)
+
+SQL = {"p5_filled": P5_FILLED, "p6_profile": P6_PROFILE, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_current": P4_CURRENT, "p5_found": P5_FOUND, "p6_found": P6_FOUND}

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.plans import layouts, quality, quality_sql, sequences, spatials, statistics
+from blockloom.plans import layouts, quality, sequences, spatials, statistics
 
-MODULES = (statistics, sequences, spatials, layouts)
+MODULES = (quality, statistics, sequences, spatials, layouts)
 DIGITS = 6
 PLACES = {"d2": 8, "rect_area": 6, "fill": 7, "position": 10}
 
@@ -26,14 +26,14 @@ def rounded(query: Callable, columns: list[str], digits: int = DIGITS) -> Callab
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = dict(quality.QUERIES)
+    out = {}
     for m in MODULES:
         out |= {k: rounded(f, m.DOUBLES[k].split()) if k in m.DOUBLES else f for k, f in m.QUERIES.items()}
     return out
 
 
 def sql() -> dict[str, str]:
-    out = dict(quality_sql.SQL)
+    out = {}
     for m in MODULES:
         for k, text in m.SQL.items():
             columns = m.DOUBLES.get(k, "").split()
