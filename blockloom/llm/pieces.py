@@ -31,7 +31,7 @@ from blockloom.llm.transducer import Transducer, transducer
 
 LIMIT, OVERLAP, SEGMENT = 1024, 64, 1 << 15
 KINDS = {3: "cell", 2: "line", 1: "blank", 0: "token", 9: "end"}
-BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32, 0x85, 0xA0)).astype(np.int8)
+BLANK = np.array([chr(c).isspace() and not 0x1C <= c <= 0x1F for c in range(0x3002)], np.int8)  # the last blank is U+3000
 SCHEMA = "piece int, token_start int, token_end int, char_start int, char_end int, n_tokens int, cut string, text string"
 
 
@@ -64,10 +64,12 @@ def strengths(text: str, sizes: np.ndarray, starts) -> tuple[np.ndarray, np.ndar
         lead = np.frombuffer(text.encode(), np.uint8) & 0xC0 != 0x80
         before = np.concatenate([[0], np.cumsum(lead)])
         whole, at = np.append(lead, True)[ends], before[ends]
-    # a byte per character is enough: other blanks than these are rare and count as no boundary
-    points = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
-    blank = BLANK[points]
-    line = points == 10
+    if text.isascii():
+        points = np.frombuffer(text.encode(), np.uint8)
+    else:
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    blank = BLANK[points if text.isascii() else np.minimum(points, len(BLANK) - 1)]
+    line = (points == 10) | (points == 0x85) | (points == 0x2028) | (points == 0x2029)
     cr = np.flatnonzero(points == 13)
     line[cr[np.append(points, 0)[cr + 1] != 10]] = True
     kind = np.zeros(len(points) + 1, np.int8)

@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CHUNK = 1 << 16  # characters taken in at once; also the longest piece that is held whole
+CHUNK = 1 << 16  # characters taken in at once
 CACHE, ONCE, PAIRS, CACHED_CHARS = 150_000, 50_000, 300_000, 32  # entries of the bounded caches, longest cached piece
 SPACE = "\t-\r \x85\xa0  -     　"
 
@@ -72,6 +72,11 @@ class Transducer:
                 a, b = self._made_of(t, r)
                 self.left[r], self.right[r] = a, b
                 self.merged[a << 32 | b] = r
+        self.endings: dict[bytes, int] = {}  # every end of a token: the token that it is, or -1
+        for t in ranks:
+            for i in range(1, len(t)):
+                self.endings.setdefault(t[i:], -1)
+        self.endings.update(ranks)
         self.lookahead = self._sufficient_lookahead()
         self._fits: dict[int, bool] = {}
         self._cache: dict[str, tuple[int, ...]] = {}  # pieces that came twice
@@ -137,64 +142,64 @@ class Transducer:
         return ok
 
     def whole(self, piece: bytes) -> tuple[int, ...]:
-        """The tokens of a piece that is held whole."""
-        get, n = self.ids.get, len(piece)
-        one = get(piece)
-        if one is not None:
-            return (one,)
-        known, fits, longest = self._fits.get, self.fits, self.longest
-        last, came = [-1], [0]  # the last token of each prefix, and where it begins
-        for p in range(1, n + 1):
-            for s in range(p - 1, p - longest - 1 if p > longest else -1, -1):
-                t = get(piece[s:p])
-                if t is not None:
-                    if s:
-                        a = last[s]
-                        ok = known(a << 32 | t)
-                        if not (fits(a, t) if ok is None else ok):
-                            continue
-                    last.append(t)
-                    came.append(s)
-                    break
-        out = []
-        while n:
-            out.append(last[n])
-            n = came[n]
-        out.reverse()
-        return tuple(out)
+        """The tokens of one piece that comes in one part."""
+        return tuple(self.stream((piece,)))
 
     def stream(self, parts: Iterable[bytes]) -> Iterator[int]:
-        """The tokens of one piece that comes in parts, emitted once no later byte can change them."""
-        ids, fits, longest, size = self.ids, self.fits, self.longest, self.bytes
-        buffer, last, wait = bytearray(), [-1], 4 * self.lookahead
-        first = True
+        """The tokens of one piece that comes in parts, emitted once no later byte can change them.
+
+        The state is the bytes since the last emitted token and the last token of each of their
+        positions. After every ``lookahead`` bytes what all open encodings share is emitted, which
+        by the lookahead's bound leaves at most so many bytes and one token; the end of the piece
+        settles the rest.
+        """
+        held, last, first, wait = b"", [-1], True, self.lookahead
         for part in parts:
             for at in range(0, len(part), wait):
-                n = len(buffer)
-                buffer += part[at : at + wait]
-                held = bytes(buffer)
-                for p in range(n + 1, len(held) + 1):
-                    found = -1
-                    for s in range(p - 1, max(p - longest, 0) - 1, -1):
-                        t = ids.get(held[s:p])
-                        if t is not None and ((s == 0 and first) or fits(last[s], t)):
-                            found = t
-                            break
-                    last.append(found)
-                stable = self._common(last, len(held))
-                if stable:
+                if len(held) >= wait:
+                    stable = self._common(last)
                     yield from self._back(last, stable)
-                    buffer, last, first = buffer[stable:], last[stable:], False
-        yield from self._back(last, len(buffer))
-
-    def _common(self, last: list[int], end: int) -> int:
-        """The last position through which every open encoding passes."""
-        open_at = set(range(max(0, end - self.longest + 1), end + 1))
-        while len(open_at) > 1:
-            p = max(open_at)
-            open_at.discard(p)
-            open_at.add(p - len(self.bytes[last[p]]) if p else 0)
-        return open_at.pop()
+                    if stable:
+                        held, last, first = held[stable:], last[stable:], False
+                held += part[at : at + wait]
+                self._walk(held, last, first)
+        yield from self._back(last, len(held))
+
+    def _walk(self, held: bytes, last: list[int], first: bool) -> None:
+        """The last token of each further position: the one whose left neighbour, the last token where it begins, fits."""
+        ending, known, fits = self.endings.get, self._fits.get, self.fits
+        for p in range(len(last), len(held) + 1):
+            s, found = p - 1, -1
+            while s >= 0:
+                t = ending(held[s:p])
+                if t is None:  # no token ends so
+                    break
+                if t >= 0:
+                    if first and not s:
+                        found = t
+                        break
+                    a = last[s]
+                    ok = known(a << 32 | t)
+                    if fits(a, t) if ok is None else ok:
+                        found = t
+                        break
+                s -= 1
+            last.append(found)
+
+    def _common(self, last: list[int]) -> int:
+        """The last position through which every open encoding passes: those that end where a later token can begin."""
+        end = len(last) - 1
+        low = max(0, end - self.longest + 1)
+        passed, n, size = bytearray(low) + b"\1" * (end + 1 - low), end + 1 - low, self.bytes
+        for p in range(end, 0, -1):
+            if passed[p]:
+                if n == 1:
+                    return p
+                before = p - len(size[last[p]])
+                if passed[before]:
+                    n -= 1
+                passed[before] = 1
+        return 0
 
     def _back(self, last: list[int], end: int) -> list[int]:
         out = []
@@ -210,7 +215,9 @@ class Transducer:
                 self._cache.clear()
             self._cache[piece] = found
             return found
-        found = self.whole(piece.encode())
+        data = piece.encode()
+        one = self.ids.get(data)  # a token is its own encoding
+        found = self.whole(data) if one is None else (one,)
         if len(piece) <= CACHED_CHARS:
             if len(self._once) >= ONCE:
                 self._once.clear()
@@ -219,9 +226,7 @@ class Transducer:
 
     def encode(self, text: str) -> list[int]:
         """All tokens of a text."""
-        if len(text) > CHUNK:
-            return list(self.encode_chunks(text[i : i + CHUNK] for i in range(0, len(text), CHUNK)))
-        return self._pieces(pattern(text.isascii()).findall(text))
+        return list(self.encode_chunks(text[i : i + CHUNK] for i in range(0, len(text), CHUNK)))
 
     def _pieces(self, pieces: list[str]) -> list[int]:
         get, miss = self._cache.get, self._miss
@@ -229,19 +234,17 @@ class Transducer:
 
     def encode_chunks(self, chunks: Iterable[str]) -> Iterator[int]:
         """The tokens of a text that comes in chunks; holds one chunk and two pieces, or a part of one long piece."""
-        source, text = iter(chunks), ""
+        source, held = iter(chunks), []
         for chunk in source:
-            text += chunk
+            text = "".join(held) + chunk
             pieces = pattern(text.isascii()).findall(text)
-            if len(pieces) > 2:
-                held = pieces[-2] + pieces[-1]
-                yield from self._pieces(pieces[:-2])
-                text = held
-            elif len(text) > 2 * CHUNK:
+            if len(pieces) <= 2 and len(text) > 2 * CHUNK:
                 rest: list[str] = []
                 yield from self.stream(self._long_piece(text, source, rest))
-                text = rest[0]
-        yield from self._pieces(pattern(text.isascii()).findall(text))
+                pieces = pattern(False).findall(rest[0])
+            held = pieces[-2:]
+            yield from self._pieces(pieces[:-2])
+        yield from self._pieces(held)
 
     def _long_piece(self, text: str, source: Iterator[str], rest: list[str]) -> Iterator[bytes]:
         """The bytes of the first piece of a text, as far as it goes on through the chunks; then rest holds what follows."""

@@ -46,6 +46,34 @@ def test_transducer_is_the_library(library):
     assert all(t.whole(b) == (i,) for b, i in list(t.ids.items())[::17])
 
 
+@needs_vocabulary
+def test_every_piece_is_streamed(folder, library, monkeypatch):
+    import pyarrow.parquet as pq
+
+    t, ran = TR.Transducer(VOCABULARY), [0]
+    stream = t.stream
+    monkeypatch.setattr(t, "stream", lambda parts: ran.__setitem__(0, ran[0] + 1) or stream(parts))
+    texts = [x for x in pq.read_table(f"{folder}/documents.parquet", columns=["text"])["text"].to_pylist() if x]
+    pieces = {p for x in texts for p in TR.pattern(False).findall(x)}
+    assert [t.encode(x) for x in texts] == library.encode_ordinary_batch(texts)
+    assert ran[0] >= len([p for p in pieces if p.encode() not in t.ids]) > 1000
+
+
+@needs_vocabulary
+def test_state_is_bounded(library):
+    t, most = TR.Transducer(VOCABULARY), [0]
+    walk = t._walk
+
+    def seen(held, last, first):
+        most[0] = max(most[0], len(held))
+        walk(held, last, first)
+
+    t._walk = seen
+    for s in ("a" * 9000, "abcab" * 3000, "=" * 7001, "-=" * 5000, "\n" * 5001, "aeinrst" * 2000):
+        assert list(t.stream([s.encode()])) == library.encode_ordinary(s)
+    assert most[0] <= 2 * t.lookahead + t.longest
+
+
 @needs_vocabulary
 def test_long_pieces(library, monkeypatch):
     t = TR.transducer(VOCABULARY)
@@ -100,6 +128,15 @@ def test_pieces_cut_at_cells_first():
     assert rows[0][4] == 301 and rows[0][6] == "cell" and rows[1][6] == "line"
 
 
+@needs_vocabulary
+def test_blanks_of_all_scripts_are_boundaries():
+    t = TR.transducer(VOCABULARY)
+    for blank, kind in (("\u3000", "blank"), ("\u2003", "blank"), ("\u2028", "line"), ("\u0085", "line"), ("\u2029", "line")):
+        text = "語" * 40 + blank + "語" * 90
+        rows = pieces.cut(t, text, None, 100, 8)
+        assert rows[0][6] == kind and rows[0][4] in (40, 41), (repr(blank), rows[0][:7])
+
+
 def brute_strongest(s, low, high):
     return max(range(low, high + 1), key=lambda i: (s[i], i))
 
