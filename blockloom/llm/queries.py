@@ -103,17 +103,31 @@ QUERIES = {f.__name__: f for f in (
     p1_found, p1_splits, p2_found, p2_misses, p7_percentiles, p8_ids, p8_round_trip, p9_found, p10_pieces
 )}
 
-P1_FOUND = """
+_TIES = """
 WITH RECURSIVE ties AS (
   SELECT DISTINCT 'b:' || building_id AS token, block_id FROM nodes_fixed
   WHERE block_id IS NOT NULL AND building_id IN (SELECT building_id FROM buildings WHERE building_id IS NOT NULL)
   UNION SELECT 'm:' || mask_path, block_id FROM blocks WHERE mask_path IS NOT NULL AND block_id IS NOT NULL
 ),
 edges2 AS (SELECT DISTINCT a.block_id AS x, b.block_id AS y FROM ties a JOIN ties b USING (token) WHERE a.block_id <> b.block_id),
-reach(x, y) AS (SELECT x, y FROM edges2 UNION SELECT r.x, e.y FROM reach r JOIN edges2 e ON r.y = e.x)
-SELECT x AS block_id, least(x, min(y)) AS group_id FROM reach GROUP BY x
+reach(x, y) AS (SELECT x, y FROM edges2 UNION SELECT r.x, e.y FROM reach r JOIN edges2 e ON r.y = e.x),
+tied AS (SELECT x AS block_id, least(x, min(y)) AS group_id FROM reach GROUP BY x)
 """
 
+P1_FOUND = _TIES + "SELECT * FROM tied"
+
+P1_SPLITS = (
+    _TIES + """,
+ids AS (SELECT block_id FROM blocks UNION SELECT block_id FROM nodes_fixed UNION SELECT block_id FROM edges),
+every AS (SELECT block_id, coalesce(group_id, block_id) AS group_id FROM ids LEFT JOIN tied USING (block_id) WHERE block_id IS NOT NULL),
+scores AS (
+  SELECT *, -share / ln((CAST('0x' || substr(md5('0|' || split || '|' || group_id), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) AS score
+  FROM every, (VALUES ('train', 0.8), ('validation', 0.1), ('test', 0.1)) s(split, share)
+)
+SELECT block_id, group_id, arg_max(split, score) AS split FROM scores GROUP BY ALL
+"""
+)
+
 P7 = """
 WITH zones AS (SELECT block_id, arg_max({'z': zone}, (loaded_at, zone)).z AS zone FROM blocks WHERE block_id IS NOT NULL GROUP BY block_id),
 v AS (
@@ -129,4 +143,4 @@ SELECT measure, zone, percentile, value, n
 FROM r, (SELECT unnest([50, 90, 99])::INTEGER AS percentile) WHERE rk = (percentile * n + 99) // 100
 """
 
-SQL: dict[str, str] = {"p1_found": P1_FOUND, "p7_percentiles": P7}
+SQL: dict[str, str] = {"p1_found": P1_FOUND, "p1_splits": P1_SPLITS, "p7_percentiles": P7}

@@ -273,6 +273,20 @@ def test_splits(spark):
     again = components.assign_splits(records.repartition(7), groups, queries.SHARES)
     assert out.exceptAll(again).count() == 0
     assert components.assign_splits(records.limit(0), groups.limit(0), queries.SHARES).count() == 0
+    # another component, however large, moves none of the others
+    more = components.assign_splits(records.unionByName(spark.createDataFrame([("giant", 10**6)], records.schema)), groups, queries.SHARES)
+    assert more.filter("record <> 'giant'").exceptAll(out).count() == 0 and more.count() == 6003
+    placed = components.assign_splits(records, groups, queries.SHARES, placed_above=0.005)
+    near = {r[0]: r[1] / 19500 for r in placed.join(records, "record").groupBy("split").agg(F.sum("weight")).collect()}
+    assert abs(near["train"] - 0.8) < 0.03 and abs(near["test"] - 0.1) < 0.03
+
+
+def test_large_clusters_are_looked_up_apart(spark):
+    pairs = [("a", f"n{i:03d}") for i in range(300)] + [("a", "a"), ("b", "a"), ("b", "c"), ("b", "b")]
+    df = spark.createDataFrame(pairs, "v string, u string")
+    want = sorted((v, u, min(x for w, x in pairs if w == v)) for v, u in pairs)
+    for hot in (2, 100, 10**6):
+        assert sorted(map(tuple, components.with_least(df, hot).select("v", "u", "m").collect())) == want
 
 
 # ---- names
@@ -297,6 +311,17 @@ def test_names(spark):
     assert got == {**typed, "mixd use": 4, "смешанное-использование": 4, "x": -1}
     assert canonical.canonical(df.limit(0), ref).count() == 0
     assert {r.canon_id for r in canonical.canonical(df, ref.limit(0)).collect()} == {-1}
+    joined = {r.value: r.canon_id for r in canonical.canonical(df, ref, deletes=0).collect()}
+    assert joined == got  # a list too long for a broadcast
+    assert canonical.canonical(df.unionByName(df), ref).count() == 2 * canonical.canonical(df, ref).count()
+
+
+def test_most_values_are_found_by_deletes():
+    d = canonical.Dictionary([(i, tuple(x for x in (name, en.replace("_", " "), *(also or [])) if x), 0) for i, kind, name, en, also in REFERENCE if kind == "service"])
+    for value in ("Детский сад", "Детскии сад", "Дтеский сад", "Общеобразовательная школа (план)", "Общеобразоватленая школа", "Парк №107"):
+        cost, how, form = min((c, h, f) for c, h, f in canonical.forms(value) if d(f) > 0)
+        keys = {k for x in canonical.probes(how, form, canonical.bound(len(form) + 1)) for k in d.near.get(x, ())}
+        assert d(value) in {d.entry[k] for k in keys}
 
 
 def test_distance_and_deletes():

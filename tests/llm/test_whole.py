@@ -56,5 +56,6 @@ def test_padded_names(spark):
     assert [got[v] for v in values] == [1, 1, 1, 1, -1]
     entries = tuple((i, (name,), 0) for i, _, name, *_ in REFERENCE)
     began = time.time()
-    canonical.resolver(entries)("Детский" + " " * 200_000 + "сад")
+    assert canonical.Dictionary(entries)("Детский" + " " * 200_000 + "сад") == 1
+    assert canonical.Dictionary(entries)("Детский сад" + " (план)" * 30_000) == 1
     assert time.time() - began < 5
