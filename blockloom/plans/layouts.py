@@ -112,15 +112,9 @@ def zone_centres(spark, d):
 
 def service_sites(spark, d):
     """Sites on the cells of every block; a cell that the border cuts below one half is outside, one with a building's centre is built."""
-    size = placement.CELL
-    cells = grid.clipped_cells(spatials.blocks(spark, d).select(F.col("id").alias("block_id"), F.col("wkt").alias("geometry")), size)
-    at = lambda v: F.floor((F.col(f"{v}min") + F.col(f"{v}max")) / 2 / size)
-    houses = nearby.with_box(spatials.buildings(spark, d), "wkt").select(at("y").alias("gi"), at("x").alias("gj")).distinct().withColumn("is_building", F.lit(True))
-    cells = cells.join(houses, ["gi", "gj"], "left").select(
-        F.col("block_id").alias("zone"), F.col("gi").alias("row_i"), F.col("gj").alias("col_j"), (F.col("area") >= size * size / 2).alias("inside"),
-        F.pmod("gi", F.lit(4)).alias("level"), F.coalesce("is_building", F.lit(False)).alias("is_building"),
-    )
-    return placement.place_services(cells)
+    at = lambda v: F.floor((F.col(f"{v}min") + F.col(f"{v}max")) / 2 / placement.CELL).alias(f"g{'i' if v == 'y' else 'j'}")
+    houses = nearby.with_box(spatials.buildings(spark, d), "wkt").select(at("y"), at("x")).distinct()
+    return placement.place_on_blocks(spatials.blocks(spark, d).select(F.col("id").alias("block_id"), F.col("wkt").alias("geometry")), houses, 4)
 
 
 def _demand(spark, d):

@@ -327,3 +327,31 @@ def test_repulsion_of_many_and_large_blocks(spark):
         mine = [r for r in rows if r[0] == (None if b == 3 else f"b{b}")]
         x, y = one_pair_after_another([r[2] for r in mine], [r[3] for r in mine], 0.1, 12)
         assert all(moved[r[:2]] == pytest.approx(p) for r, p in zip(mine, zip(x, y)))
+
+
+def test_sites_on_whole_blocks(spark):
+    rng = random.Random(6)
+    ring = lambda *p: "(" + ", ".join(f"{x} {y}" for x, y in (*p, p[0])) + ")"
+    turned = lambda x, y, a, b, s: ring((x, y), (x + a, y + s), (x + a - s, y + b), (x - s, y + b - s))
+    shapes = [f"POLYGON ({turned(3e6 + 400 * k, 2e6, rng.randint(150, 330), rng.randint(150, 330), rng.randint(-20, 40))})" for k in range(6)]
+    shapes += [f"POLYGON ({ring((0, 0), (300, 0), (300, 300), (0, 300))}, {ring((45, 45), (100, 50), (95, 130))})", f"POLYGON ({ring((900, 0), (1200, 300), (1200, 0), (900, 300))})", "POLYGON ((7 7, 7 8, 8 7, 7 7))"]
+    shapes.append(f"MULTIPOLYGON (({turned(2000, -700, 200, 310, 12)}), ({turned(2260, -700, 150, 310, -9)}))")
+    took = slow = 0.0
+    for text in shapes:
+        parts = planar.read_wkt(text)
+        began = time.time()
+        areas, r0, c0 = planar.cell_areas(parts, 15.0)
+        took, began = took + time.time() - began, time.time()
+        for (i, j), a in np.ndenumerate(areas):
+            x, y = (j + c0) * 15.0, (i + r0) * 15.0
+            assert a == pytest.approx(sum(planar.overlap(p, np.array([[x, y], [x + 15, y], [x + 15, y + 15], [x, y + 15]])) for p in parts), abs=1e-6)
+        slow += time.time() - began
+    assert took < slow / 10
+    blocks = spark.createDataFrame(list(enumerate([*shapes, None])), "block_id string, geometry string")
+    cells = grid.clipped_cells(blocks, 15.0).cache()
+    houses = cells.filter("pmod(hash(gi, gj), 61) = 3").select("gi", "gj").distinct()
+    flags = cells.join(houses.withColumn("is_building", F.lit(True)), ["gi", "gj"], "left").select(
+        F.col("block_id").alias("zone"), F.col("gi").alias("row_i"), F.col("gj").alias("col_j"), (F.col("area") >= 112.5).alias("inside"), F.pmod("gi", F.lit(4)).alias("level"), F.coalesce("is_building", F.lit(False)).alias("is_building")
+    )
+    got, wanted = placement.place_on_blocks(blocks, houses, 4).collect(), placement.place_services(flags).collect()
+    assert sorted(got) == sorted(wanted) and len({r.zone for r in got}) > 4
